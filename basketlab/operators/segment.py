@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
@@ -102,7 +103,8 @@ def _fit_all(vectors: DataFrame, ks: range, n_init: int, seed: int, parallelism:
 
     def run(task: tuple[int, int]):
         k, i = task
-        return k, KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(vectors)
+        # Stop when all centres together move by less than 1e-4 (squared), on unit-variance data.
+        return k, KMeans(k=k, seed=seed + i, maxIter=300, tol=math.sqrt(1e-4 / k)).fit(vectors)
 
     tasks = [(k, i) for k in ks for i in range(n_init)]
     best: dict = {}
