@@ -12,8 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,7 +115,8 @@ def _blocks(pdf: pd.DataFrame, n: int) -> Iterator[tuple[slice, np.ndarray]]:
 
 
 def _add_gram(gram: np.ndarray, pdf: pd.DataFrame) -> None:
-    """Add X'X of the users in ``pdf``: by products of non-zeros when rows are sparse, else BLAS."""
+    """Add the upper half of X'X of the users in ``pdf``: by products of non-zeros when rows are
+    sparse, else by BLAS."""
     n = len(gram)
     for start in range(0, len(pdf), USERS_PER_BLOCK):
         rows = pdf.iloc[start : start + USERS_PER_BLOCK]
@@ -132,15 +131,18 @@ def _add_gram(gram: np.ndarray, pdf: pd.DataFrame) -> None:
         row_start = np.repeat(np.cumsum(lens) - lens, lens)
         within = np.arange(products) - np.repeat(np.cumsum(per_entry) - per_entry, per_entry)
         right = np.repeat(row_start, per_entry) + within
+        upper = idx[left] <= idx[right]
+        left, right = left[upper], right[upper]
         cells = idx[left].astype(np.int64) * n + idx[right]
         keys, where = np.unique(cells, return_inverse=True)
         gram.ravel()[keys] += np.bincount(where, val[left] * val[right])
 
 
 def item_gram(vectors: DataFrame, sizes: DataFrame, g: str) -> DataFrame:
-    """(group, i, row): rows of the Gram matrix of each group.
+    """(group, i, j, dot) with i <= j: non-zero cells of the Gram matrix of each group.
 
-    Tasks see their users ordered by group and hold one partial matrix at a time.
+    Tasks see their users ordered by group and hold one partial matrix at a time; only its
+    non-zero upper half is shuffled and summed.
     """
     spark = vectors.sparkSession
     counts = {r[g]: r["n"] for r in sizes.collect()}  # one row per group
@@ -152,8 +154,11 @@ def item_gram(vectors: DataFrame, sizes: DataFrame, g: str) -> DataFrame:
         key, gram = None, None
 
         def rows() -> pd.DataFrame:
-            used = np.flatnonzero(gram.any(axis=1))
-            return pd.DataFrame({g: key, "i": used.astype("int32"), "row": list(gram[used])})
+            half = np.triu(gram)
+            used = np.flatnonzero(half.any(axis=1))
+            js = [np.flatnonzero(half[i]).astype("int32") for i in used]
+            dots = [half[i, j] for i, j in zip(used, js)]
+            return pd.DataFrame({g: key, "i": used.astype("int32"), "js": js, "dots": dots})
 
         for batch in batches:
             for group_key, part in batch.groupby(g, sort=True):
@@ -169,23 +174,19 @@ def item_gram(vectors: DataFrame, sizes: DataFrame, g: str) -> DataFrame:
     parts = (
         vectors.coalesce(tasks)
         .sortWithinPartitions(g)
-        .mapInPandas(partial, f"{g} long, i int, row array<double>")
-    )
-    return (
-        parts.groupBy(g, "i")
-        .agg(Summarizer.sum(array_to_vector("row")).alias("s"))
-        .select(g, "i", vector_to_array("s").alias("row"))
+        .mapInPandas(partial, f"{g} long, i int, js array<int>, dots array<double>")
     )
+    cells = parts.select(g, "i", F.explode(F.arrays_zip("js", "dots")).alias("c"))
+    return cells.groupBy(g, "i", F.col("c.js").alias("j")).agg(F.sum("c.dots").alias("dot"))
 
 
 def _decompose(n_components: int, g: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        n = len(pdf)
+    def run(index: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        index = index.sort_values("idx")
+        n = len(index)
         gram = np.zeros((n, n))
-        for i, row in zip(pdf["idx"], pdf["row"]):
-            if row is not None:
-                gram[i] = row
+        gram[cells["i"], cells["j"]] = cells["dot"]
+        gram[cells["j"], cells["i"]] = cells["dot"]
         values, vectors = np.linalg.eigh(gram)
         values, vectors = values[::-1], vectors[:, ::-1]
         floor = max(values[0], 0.0) * n * np.finfo(float).eps
@@ -195,9 +196,9 @@ def _decompose(n_components: int, g: str):
         v = v * np.sign(v[peak, np.arange(k)])
         return pd.DataFrame(
             {
-                g: pdf[g].to_numpy(),
-                "item": pdf["item"].to_numpy(),
-                "idx": pdf["idx"].to_numpy(),
+                g: index[g].to_numpy(),
+                "item": index["item"].to_numpy(),
+                "idx": index["idx"].to_numpy(),
                 "v": list(v),
                 "sigma": [np.sqrt(values[:k])] * n,
                 "energy": float(np.trace(gram)),
@@ -225,8 +226,7 @@ def fit_svd(
     train = rows.where(is_train("user_id", test_size, seed)) if test_size > 0 else rows
     gram = item_gram(user_vectors(train, index, g), sizes, g)
     item_type = dict(rows.dtypes)["item"]
-    placed = index.join(gram.withColumnRenamed("i", "idx"), [g, "idx"], "left")
-    factors = placed.select(g, "item", "idx", "row").groupBy(g).applyInPandas(
+    factors = index.groupBy(g).cogroup(gram.groupBy(g)).applyInPandas(
         _decompose(n_components, g),
         f"{g} long, item {item_type}, idx int, v array<double>, sigma array<double>, energy double",
     )
@@ -240,7 +240,10 @@ def gram_cells(interactions: DataFrame, group_col: str | None = None) -> DataFra
     index = item_index(rows, g)
     sizes = index.groupBy(g).agg(F.count(F.lit(1)).cast("int").alias("n"))
     gram = item_gram(user_vectors(rows, index, g), sizes, g)
-    cells = gram.select(g, "i", F.posexplode("row").alias("j", "dot")).where(F.col("dot") != 0)
+    flipped = gram.where("i < j").select(
+        g, F.col("j").alias("i"), F.col("i").alias("j"), "dot"
+    )
+    cells = gram.unionByName(flipped).where(F.col("dot") != 0)
     left = index.select(g, F.col("idx").alias("i"), F.col("item").alias("item_i"))
     right = index.select(g, F.col("idx").alias("j"), F.col("item").alias("item_j"))
     return (

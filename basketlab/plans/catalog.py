@@ -60,7 +60,7 @@ def merge_prior_train(ws: Workspace) -> DataFrame:
 
 @query
 def integrity_report(ws: Workspace) -> DataFrame:
-    return integrity.integrity_report(ws.view.retail)
+    return integrity.integrity_report(ws.stored)
 
 
 # --- profiling ----------------------------------------------------------------------------
@@ -68,7 +68,7 @@ def integrity_report(ws: Workspace) -> DataFrame:
 
 @query
 def profile_shape(ws: Workspace) -> DataFrame:
-    return profile.shape(ws.view.retail.named())
+    return profile.shape(ws.stored.named())
 
 
 HEAD_ORDER = {
@@ -83,7 +83,7 @@ HEAD_ORDER = {
 @query
 def profile_head(ws: Workspace) -> DataFrame:
     parts = []
-    for name, df in ws.view.retail.named().items():
+    for name, df in ws.stored.named().items():
         text = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
         first = profile.head(df, HEAD_ORDER[name])
         parts.append(first.select(F.lit(name).alias("table_name"), text.alias("row_text")))
@@ -95,18 +95,18 @@ def profile_head(ws: Workspace) -> DataFrame:
 
 @query
 def profile_info(ws: Workspace) -> DataFrame:
-    return profile.info(ws.view.retail.named())
+    return profile.info(ws.stored.named())
 
 
 @query
 def profile_nulls(ws: Workspace) -> DataFrame:
-    return profile.nulls(ws.view.retail.named())
+    return profile.nulls(ws.stored.named())
 
 
 @query
 def profile_describe(ws: Workspace) -> DataFrame:
     out = None
-    for name, df in ws.view.retail.named().items():
+    for name, df in ws.stored.named().items():
         part = profile.describe(name, df)
         out = part if out is None else out.unionByName(part)
     return out.select(
@@ -636,7 +636,7 @@ def _product_search(ws: Workspace) -> DataFrame:
     found = search.query(ws.product_index, ws.product_docs, asked)
     # Query q is asked by the q-th of the users with most lines.
     users = ws.top_users.agg(F.array_sort(F.collect_list("user_id"))).scalar()
-    asking = asked.select("query_id", users.getItem(F.col("query_id") - 1).alias("user_id"))
+    asking = asked.select("query_id", users[F.col("query_id") - 1].alias("user_id"))
     bought = recommend.user_items(ws.user_lines, "product_id").join(asking, "user_id")
     return search.products(found, ws.star, bought.select("query_id", F.col("item").alias("doc_id")))
 

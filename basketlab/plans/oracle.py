@@ -471,9 +471,10 @@ def bought_together_sql(order: str) -> str:
         f"""SELECT cluster, product, item, CAST(row_number() OVER (PARTITION BY cluster, product
         ORDER BY score DESC, item) AS INTEGER) AS rank, round(confidence, 6) AS confidence,
         round(lift, 6) AS lift, round(support, 6) AS support, round(score, 6) AS score FROM (
-          SELECT cluster, product, unnest(consequents) AS item, antecedents, consequents, confidence,
+          SELECT cluster, product, item, antecedents, consequents, confidence,
           lift, support, combined_score AS score
-          FROM (SELECT *, unnest(antecedents) AS product FROM name_rules)
+          FROM (SELECT *, unnest(consequents) AS item FROM
+            (SELECT *, unnest(antecedents) AS product FROM name_rules))
           QUALIFY row_number() OVER (PARTITION BY cluster, product, item
             ORDER BY score {order}, antecedents, consequents) = 1)
         QUALIFY row_number() OVER (PARTITION BY cluster, product ORDER BY score DESC, item) <= 5""",

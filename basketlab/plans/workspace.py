@@ -42,6 +42,15 @@ class Workspace:
         self.view = RetailView(spark, folder)
 
     # inputs
+    @cached_property
+    def stored(self) -> tables.Retail:
+        """The retail tables with the two derived ones written out, for reports that scan a
+        table several times."""
+        v = self.view
+        return tables.Retail(
+            v.aisles, v.departments, v.products, cut(v.orders), cut(v.order_products)
+        )
+
     @cached_property
     def clean_orders(self) -> DataFrame:
         return clean.orders_global(self.view.orders)
