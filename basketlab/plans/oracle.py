@@ -297,8 +297,8 @@ for _name, _item in (("dept", "department_id"), ("aisle", "aisle_id")):
 cluster_baskets("name_baskets", "product_name")
 cluster_baskets("product_baskets", "product_id")
 mine("dept", "dept_baskets", 6, **DEPARTMENT_RULES)
-mine("shelf", "aisle_baskets", 4, **AISLE_RULES)
-mine("name", "name_baskets", 4, **CLUSTER_RULES)
+mine("shelf", "aisle_baskets", 9, **AISLE_RULES)
+mine("name", "name_baskets", 9, **CLUSTER_RULES)
 
 _SIDES = (
     "array_to_string(antecedents, ',') AS antecedents, "
