@@ -20,15 +20,17 @@ LIFT_WEIGHT = 0.3
 _ALL = "_all"
 
 
-def user_lines(lines: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
-    """Each order line with its user and product attributes.
+def user_lines(
+    lines: DataFrame, orders: DataFrame, products: DataFrame, *order_cols: str
+) -> DataFrame:
+    """Each order line with its user and product attributes (and ``order_cols`` of its order).
 
     Joins carry no broadcast hints: Spark broadcasts products only when their measured size
     allows it and splits skewed partitions otherwise.
     """
     return (
         lines.select("order_id", "product_id")
-        .join(orders.select("order_id", "user_id"), "order_id")
+        .join(orders.select("order_id", "user_id", *order_cols), "order_id")
         .join(products, "product_id")
     )
 
@@ -76,6 +78,18 @@ def _grouped(df: DataFrame, group_col: str | None) -> tuple[DataFrame, str]:
     return df, group_col
 
 
+def _no_itemsets(rows: DataFrame, g: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return (
+        rows.limit(0)
+        .select(
+            g, F.array("item").alias("items"), zero.alias("freq"), zero.alias("n_baskets"),
+            F.lit(0.0).alias("support"), F.col("item").alias("anchor"),
+        )
+        .drop(_ALL)
+    )
+
+
 def frequent_itemsets(
     baskets: DataFrame, min_support: float, group_col: str | None = None
 ) -> DataFrame:
@@ -88,20 +102,20 @@ def frequent_itemsets(
     persisted table.
     """
     rows, g = _grouped(baskets, group_col)
-    sizes = (
-        rows.select(g, "order_id").distinct().groupBy(g).agg(F.count(F.lit(1)).alias("n_baskets"))
-    )
+    sizes = rows.select(g, "order_id").distinct().groupBy(g).agg(F.count(F.lit(1)).alias("n"))
+    totals = {r[g]: r["n"] for r in sizes.collect()}  # one row per group
+    if not totals:
+        return _no_itemsets(rows, g)
+    total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col(g)]
     singles = (
         rows.groupBy(g, "item")
         .agg(F.count(F.lit(1)).alias("freq"))
-        .join(sizes, g)
-        .where(F.col("freq") / F.col("n_baskets") >= min_support)
+        .where(F.col("freq") / total >= min_support)
     )
     kept = rows.join(singles.select(g, "item"), [g, "item"], "left_semi")
     arrays = basket_arrays(kept, g).persist()
     try:
         used = {r[g]: r["n"] for r in arrays.groupBy(g).agg(F.count("*").alias("n")).collect()}
-        totals = {r[g]: r["n_baskets"] for r in sizes.collect()}
         parts = []
         for key in sorted(used):
             # FPGrowth rounds the threshold itself; ask for slightly more and filter exactly.
@@ -117,12 +131,9 @@ def frequent_itemsets(
                     F.lit(totals[key]).cast("long").alias("n_baskets"),
                 )
             )
-        if parts:
-            found = reduce(DataFrame.unionByName, parts)
-        else:
-            found = arrays.select(
-                g, "items", F.lit(0).cast("long").alias("freq"), F.lit(1).cast("long").alias("n_baskets")
-            ).limit(0)
+        if not parts:
+            return _no_itemsets(rows, g)
+        found = reduce(DataFrame.unionByName, parts)
         found = found.withColumn("support", F.col("freq") / F.col("n_baskets"))
         found = cut(found.where(F.col("support") >= min_support))
     finally:

@@ -32,9 +32,6 @@ def rule_counts(rules: DataFrame, baskets: DataFrame, group_col: str | None = No
     if group_col is None:
         rules = rules.withColumn(_ALL, F.lit(0))
         baskets = baskets.withColumn(_ALL, F.lit(0))
-    totals = (
-        baskets.select(g, "order_id").distinct().groupBy(g).agg(F.count("*").alias("n_orders"))
-    )
     # Only items some rule mentions reach the arrays, so these stay as short as the rule base.
     used = rules.select(g, F.explode(F.array_union(*RULE_KEY)).alias("item")).distinct()
     arrays = (
@@ -62,12 +59,15 @@ def rule_counts(rules: DataFrame, baskets: DataFrame, group_col: str | None = No
         )
     )
     zero = F.lit(0).cast("long")
-    return (
-        rules.join(counts, [g, *RULE_KEY], "left")
-        .join(totals, g, "left")
-        .withColumns({c: F.coalesce(c, zero) for c in ("matched", "both", "hit", "n_orders")})
-        .drop(_ALL)
-    )
+    out = rules.join(counts, [g, *RULE_KEY], "left")
+    orders = baskets.select(g, "order_id").distinct()
+    if group_col is None:
+        out = out.withColumn("n_orders", orders.agg(F.count(F.lit(1))).scalar())
+    else:
+        totals = orders.groupBy(g).agg(F.count(F.lit(1)).alias("n_orders"))
+        out = out.join(totals, g, "left")
+    measures = ("matched", "both", "hit", "n_orders")
+    return out.withColumns({c: F.coalesce(c, zero) for c in measures}).drop(_ALL)
 
 
 def _cells() -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketlab.functions.text import tokens
 from basketlab.functions.topk import top_per_group
+from basketlab.session import cut
 
 # Share of text similarity and of the recommender in the combined score.
 TEXT_WEIGHT = 0.7
@@ -39,8 +40,11 @@ def term_counts(docs: DataFrame, key: str = "doc_id", stop_words: list[str] | No
 
 
 def fit(docs: DataFrame, stop_words: list[str] | None = None) -> TextIndex:
-    """tf * (ln((1 + N) / (1 + df)) + 1), each document scaled to length 1."""
-    tf = term_counts(docs, "doc_id", stop_words)
+    """tf * (ln((1 + N) / (1 + df)) + 1), each document scaled to length 1.
+
+    Counts are written once, so the text is tokenised once for both uses of them.
+    """
+    tf = cut(term_counts(docs, "doc_id", stop_words))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
@@ -52,6 +56,11 @@ def fit(docs: DataFrame, stop_words: list[str] | None = None) -> TextIndex:
     return TextIndex(terms, weights, stop_words)
 
 
+def stored(index: TextIndex) -> TextIndex:
+    """The index as written tables, to be searched many times."""
+    return TextIndex(cut(index.terms), cut(index.weights), index.stop_words)
+
+
 def scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, nlp_score) for documents sharing a term with the query.
 

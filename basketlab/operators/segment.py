@@ -65,11 +65,11 @@ def scale(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame
     ).scalar()
 
     def scaled(c: str) -> Column:
-        std = moments.getField(f"{c}_std")
-        spread = F.when(std == 0, F.lit(1.0)).otherwise(std)
-        return ((F.col(c) - moments.getField(f"{c}_mean")) / spread).alias(f"{c}_scaled")
+        spread = F.when(F.col(f"_m.{c}_std") == 0, F.lit(1.0)).otherwise(F.col(f"_m.{c}_std"))
+        return ((F.col(c) - F.col(f"_m.{c}_mean")) / spread).alias(f"{c}_scaled")
 
-    return features.select("*", *[scaled(c) for c in columns])
+    with_moments = features.withColumn("_m", moments)
+    return with_moments.select(*features.columns, *[scaled(c) for c in columns])
 
 
 def assign(

@@ -21,6 +21,7 @@ from basketlab.operators import (
     segment,
 )
 from basketlab.plans.workspace import DOCUMENT_SEARCHES, PRODUCT_SEARCHES, Workspace
+from basketlab.session import cut
 from basketlab.sources import integrity, tables
 
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
@@ -46,7 +47,7 @@ def retail_order_products(ws: Workspace) -> DataFrame:
 
 @query
 def retail_products(ws: Workspace) -> DataFrame:
-    return ws.star
+    return tables.star(ws.view.retail)
 
 
 @query
@@ -356,12 +357,14 @@ def cluster_rule_metrics(ws: Workspace) -> DataFrame:
 
 def _ranking(ws: Workspace, order: str) -> DataFrame:
     """History counts as scores, the latest order as truth."""
-    sets = ws.clean_orders.select("order_id", "eval_set")
-    marked = ws.user_lines.join(sets, "order_id")
-    past = factor.interaction_counts(marked.where(F.col("eval_set") == "prior"), "aisle_id")
-    latest = marked.where(F.col("eval_set") == "train")
-    truth = latest.select("user_id", F.col("aisle_id").alias("item"))
-    scores = past.withColumnRenamed("value", "score")
+    lines = baskets.user_lines(ws.view.lines, ws.clean_orders, ws.view.products, "eval_set")
+    both = lines.groupBy("user_id", F.col("aisle_id").alias("item")).agg(
+        F.count(F.when(F.col("eval_set") == "prior", 1)).alias("score"),
+        F.count(F.when(F.col("eval_set") == "train", 1)).alias("latest"),
+    )
+    both = cut(both)
+    truth = both.where(F.col("latest") > 0).select("user_id", "item")
+    scores = both.where(F.col("score") > 0).select("user_id", "item", "score")
     return ranking.metrics(truth, scores, 5, order).select(
         "n_users", *rounded(*ranking.MEASURES)
     )

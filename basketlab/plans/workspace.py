@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.operators import baskets, clean, factor, recommend, rules_eval, search, segment
-from basketlab.session import cut
+from basketlab.session import cut, tune
 from basketlab.sources import tables
 from basketlab.sources.retail_view import RetailView
 
@@ -38,7 +38,7 @@ class Workspace:
     """Cheap results stay lazy. Models are fitted once, stored, and read by later queries."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = tune(spark)
         self.view = RetailView(spark, folder)
 
     # inputs
@@ -61,7 +61,7 @@ class Workspace:
 
     @cached_property
     def star(self) -> DataFrame:
-        return tables.star(self.view.retail)
+        return self.view.star
 
     @cached_property
     def rfm(self) -> DataFrame:
@@ -129,7 +129,10 @@ class Workspace:
     # recommendations
     @cached_property
     def mba(self) -> DataFrame:
-        return recommend.by_rules(self.user_arrays, self.user_clusters, self.aisle_rules.rules)
+        """Written once: the list a page serves and several pages build on."""
+        return cut(
+            recommend.by_rules(self.user_arrays, self.user_clusters, self.aisle_rules.rules)
+        )
 
     @cached_property
     def svd_aisles(self) -> DataFrame:
@@ -160,7 +163,7 @@ class Workspace:
 
     @cached_property
     def product_index(self) -> search.TextIndex:
-        return search.fit(self.product_docs)
+        return search.stored(search.fit(self.product_docs))
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -168,7 +171,7 @@ class Workspace:
 
     @cached_property
     def document_index(self) -> search.TextIndex:
-        return search.fit(self.documents)
+        return search.stored(search.fit(self.documents))
 
     def searches(self, rows: list[tuple[int, str]]) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("text")) for i, t in rows])
@@ -178,7 +181,7 @@ class Workspace:
     def top_users(self) -> DataFrame:
         """Request table: the 20 users with most lines."""
         totals = self.aisle_counts.groupBy("user_id").agg(F.sum("value").alias("n"))
-        return totals.orderBy(F.desc("n"), F.asc("user_id")).limit(20).select("user_id")
+        return cut(totals.orderBy(F.desc("n"), F.asc("user_id")).limit(20).select("user_id"))
 
 
 _current: dict[tuple[str, str], Workspace] = {}

@@ -37,7 +37,8 @@ class RetailView:
         return self._dimension("p_type", "department_id", "department")
 
     @cached_property
-    def products(self) -> DataFrame:
+    def star(self) -> DataFrame:
+        """Products with their names, each name joined to its id once."""
         part = self.source("part").select(
             F.col("p_partkey").alias("product_id"),
             F.col("p_name").alias("product_name"),
@@ -47,9 +48,15 @@ class RetailView:
         return (
             part.join(self.aisles, "aisle")
             .join(self.departments, "department")
-            .select("product_id", "product_name", "aisle_id", "department_id")
+            .select(
+                "product_id", "product_name", "aisle_id", "department_id", "aisle", "department"
+            )
         )
 
+    @cached_property
+    def products(self) -> DataFrame:
+        return self.star.select("product_id", "product_name", "aisle_id", "department_id")
+
     @cached_property
     def _hot_users(self) -> list:
         return hot_keys(
