@@ -23,8 +23,17 @@ here's how's let's ought that's there's what's when's where's who's why's would
 """.split()
 
 
-def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Array of lower-case tokens of the whole text, stop words left out."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+def raw_tokens(text: Column) -> Column:
+    """Array of lower-case tokens of the whole text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+
+
+def keep(term: Column, stop_words: list[str] | None = None) -> Column:
+    """False for stop words (``stop_words=[]`` keeps everything)."""
     words = STOP_WORDS if stop_words is None else stop_words
-    return F.filter(found, lambda t: ~t.isin(words)) if words else found
+    return ~term.isin(words) if words else F.lit(True)
+
+
+def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
+    """Array of tokens with stop words left out."""
+    return F.filter(raw_tokens(text), lambda t: keep(t, stop_words))

@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from basketlab.session import local_table
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Sketch accuracy: the rank error of the bracket is at most rows / ACCURACY.
+# Sketch accuracy: the rank error of a bracket is at most rows / accuracy. It grows with the
+# table, so that a bracket never holds more than about eight million rows.
 ACCURACY = 10_000
+ROWS_PER_RANK = 1_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -67,7 +69,7 @@ def nulls(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def describe(name: str, df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
+def describe(name: str, df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear interpolation) and max of numeric columns.
 
     Exact quartiles without sorting a column: a mergeable sketch brackets each target rank,
@@ -75,6 +77,8 @@ def describe(name: str, df: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
     ranked. A column with at most ``accuracy`` rows is its own bracket. The first pass
     returns one row.
     """
+    if accuracy is None:
+        accuracy = max(ACCURACY, df.count() // ROWS_PER_RANK)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     step = 4.0 / accuracy
     probes = [max(0.0, q - step) for q in QUARTILES] + [min(1.0, q + step) for q in QUARTILES]

@@ -230,14 +230,12 @@ def product_detail(star: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def cluster_product_counts(user_lines: DataFrame, user_clusters: DataFrame) -> DataFrame:
-    """Lines per (cluster, aisle, product). User totals are summed before segments are joined."""
-    per_user = user_lines.groupBy("user_id", "aisle_id", "product_id", "product_name").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    """Lines per (cluster, aisle, product); counts are combined before they leave a task."""
     return (
-        per_user.join(user_clusters.select("user_id", "cluster"), "user_id")
-        .groupBy("cluster", "aisle_id", "product_id", "product_name")
-        .agg(F.sum("_n").alias("cluster_count"))
+        user_lines.select("user_id", "aisle_id", "product_id")
+        .join(user_clusters.select("user_id", "cluster"), "user_id")
+        .groupBy("cluster", "aisle_id", "product_id")
+        .agg(F.count(F.lit(1)).alias("cluster_count"))
     )
 
 
@@ -245,12 +243,19 @@ def _by_count() -> Sequence[Column]:
     return [F.desc("cluster_count"), F.asc("product_id")]
 
 
-def cluster_aisle_top_products(counts: DataFrame, n: int = 3) -> DataFrame:
-    return top_per_group(counts, ["cluster", "aisle_id"], _by_count(), n, spread="product_id")
+def _named(top: DataFrame, products: DataFrame) -> DataFrame:
+    """Names join the few rows left after the cut."""
+    return top.join(products.select("product_id", "product_name"), "product_id")
+
+
+def cluster_aisle_top_products(counts: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
+    keys = ["cluster", "aisle_id"]
+    return _named(top_per_group(counts, keys, _by_count(), n, spread="product_id"), products)
 
 
-def cluster_top_sold(counts: DataFrame, n: int = 10) -> DataFrame:
-    return top_per_group(counts, ["cluster"], _by_count(), n, spread="product_id").drop("aisle_id")
+def cluster_top_sold(counts: DataFrame, products: DataFrame, n: int = 10) -> DataFrame:
+    top = top_per_group(counts, ["cluster"], _by_count(), n, spread="product_id")
+    return _named(top.drop("aisle_id"), products)
 
 
 def with_top_products(recommended: DataFrame, top_products: DataFrame) -> DataFrame:
@@ -296,7 +301,7 @@ def aisle_products(
     )
     order = [F.desc("score"), F.desc("previously_bought"), F.asc("product_id")]
     top = top_per_group(rows, ["user_id", "aisle_id"], order, n, spread="product_id")
-    return top.join(products.select("product_id", "product_name"), "product_id")
+    return _named(top, products)
 
 
 # --- blending -----------------------------------------------------------------------------

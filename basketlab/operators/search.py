@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.text import tokens
+from basketlab.functions.text import keep, raw_tokens
 from basketlab.functions.topk import top_per_group
 from basketlab.session import cut
 
@@ -33,7 +33,8 @@ def product_text(star: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, key: str = "doc_id", stop_words: list[str] | None = None) -> DataFrame:
     """(key, term, tf). Counts of a document are combined before they leave its task."""
     return (
-        docs.select(key, F.explode(tokens(F.col("text"), stop_words)).alias("term"))
+        docs.select(key, F.explode(raw_tokens(F.col("text"))).alias("term"))
+        .where(keep(F.col("term"), stop_words))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -227,7 +227,9 @@ def user_product_ratings(ws: Workspace) -> DataFrame:
 
 @query
 def cluster_top_products(ws: Workspace) -> DataFrame:
-    return recommend.cluster_top_sold(ws.cluster_counts, 1500).drop("product_name")
+    return recommend.cluster_top_sold(ws.cluster_counts, ws.view.products, 1500).drop(
+        "product_name"
+    )
 
 
 # --- baskets and rules --------------------------------------------------------------------
@@ -487,7 +489,7 @@ def svd_aisle_page(ws: Workspace) -> DataFrame:
     own = factor.recommend(ws.cluster_aisle_svd, 5).drop("cluster")
     listed = recommend.cluster_first(own, ws.svd_aisles).withColumnRenamed("item", "aisle_id")
     placed = listed.join(ws.user_clusters.select("user_id", "cluster"), "user_id")
-    top = recommend.cluster_aisle_top_products(ws.cluster_counts)
+    top = recommend.cluster_aisle_top_products(ws.cluster_counts, ws.view.products)
     return recommend.with_top_products(placed, top).select(
         "user_id", "aisle_id", "rank", *rounded("score"), _products_text()
     )
@@ -528,12 +530,12 @@ def rule_summary(ws: Workspace) -> DataFrame:
 
 @query
 def cluster_aisle_top_products(ws: Workspace) -> DataFrame:
-    return recommend.cluster_aisle_top_products(ws.cluster_counts)
+    return recommend.cluster_aisle_top_products(ws.cluster_counts, ws.view.products)
 
 
 @query
 def cluster_top_sold(ws: Workspace) -> DataFrame:
-    return recommend.cluster_top_sold(ws.cluster_counts)
+    return recommend.cluster_top_sold(ws.cluster_counts, ws.view.products)
 
 
 def _mba(ws: Workspace) -> DataFrame:
@@ -556,7 +558,7 @@ def mba_recommendations(ws: Workspace) -> DataFrame:
 
 @query
 def mba_aisle_page(ws: Workspace) -> DataFrame:
-    top = recommend.cluster_aisle_top_products(ws.cluster_counts)
+    top = recommend.cluster_aisle_top_products(ws.cluster_counts, ws.view.products)
     return recommend.with_top_products(_mba(ws), top).select(
         "user_id", "aisle_id", "rank", *rounded("score"), _products_text()
     )

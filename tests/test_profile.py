@@ -16,7 +16,7 @@ def test_describe_equals_pandas_for_small_and_large_columns(spark):
         }
     )
     df = spark.createDataFrame(pdf)
-    for accuracy in (100, 10_000):  # sketch brackets, whole column
+    for accuracy in (100, None):  # sketch brackets, whole column
         out = profile.describe("t", df, accuracy).toPandas().set_index("column_name")
         want = pdf.describe().T
         ours = out[["n", "mean", "std", "lo", "p25", "p50", "p75", "hi"]].to_numpy(float)
