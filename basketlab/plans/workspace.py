@@ -44,12 +44,8 @@ class Workspace:
     # inputs
     @cached_property
     def stored(self) -> tables.Retail:
-        """The retail tables with the two derived ones written out, for reports that scan a
-        table several times."""
-        v = self.view
-        return tables.Retail(
-            v.aisles, v.departments, v.products, cut(v.orders), cut(v.order_products)
-        )
+        """The retail tables written out, for reports that scan a table several times."""
+        return tables.Retail(**{n: cut(df) for n, df in self.view.retail.named().items()})
 
     @cached_property
     def clean_orders(self) -> DataFrame:
