@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, near_dedup
+from basketlab.llm import decontaminate, near_dedup, packing
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -14,6 +14,16 @@ def op1_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_file())
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of words between white space."""
     found = near_dedup.link_classes(documents(spark, sf_dir), size=2, words=space_words)
@@ -22,6 +32,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_hits": op1_benchmark_hits,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
