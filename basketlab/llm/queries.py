@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, near_dedup, packing
+from basketlab.llm import decontaminate, near_dedup, packing, phrases
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file())
 
 
+def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.neighbour_report(documents(spark, sf_dir))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of words between white space."""
     found = near_dedup.link_classes(documents(spark, sf_dir), size=2, words=space_words)
@@ -33,6 +37,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_hits": op1_benchmark_hits,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_phrase_fingerprints": op5_phrase_fingerprints,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
