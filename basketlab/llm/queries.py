@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, near_dedup, packing, phrases
+from basketlab.llm import decontaminate, near_dedup, packing, phrases, quality
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -28,6 +28,19 @@ def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.neighbour_report(documents(spark, sf_dir))
 
 
+def held_out(doc_id):
+    """Rows whose labels may not be read; a null id is not one."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of held-out rows are never read."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), may_train=~held_out(F.col("__id")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of words between white space."""
     found = near_dedup.link_classes(documents(spark, sf_dir), size=2, words=space_words)
@@ -38,6 +51,7 @@ QUERIES = {
     "op1_benchmark_hits": op1_benchmark_hits,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_phrase_fingerprints": op5_phrase_fingerprints,
+    "op6_quality_scores": op6_quality_scores,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
