@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, near_dedup, packing, phrases, quality
+from basketlab.llm import decontaminate, near_dedup, packing, personal, phrases, quality
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -47,12 +47,19 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    field = personal.fit(personal.labelled_table(spark))
+    return personal.digest(personal.scan(docs, field))
+
+
 QUERIES = {
     "op1_benchmark_hits": op1_benchmark_hits,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_phrase_fingerprints": op5_phrase_fingerprints,
     "op6_quality_scores": op6_quality_scores,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_personal_data": op10_personal_data,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
