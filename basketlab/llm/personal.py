@@ -421,12 +421,12 @@ def joined(spans: str):
 
 
 def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    counts = [
-        F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS
-    ]
+    def count(kind: str):
+        return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return scanned.select(
         F.col(doc_id).alias("doc_id"),
-        *counts,
+        *map(count, KINDS),
         F.sha2(joined("pii_base"), 256).alias("base_sha256"),
         joined("pii_spans").alias("spans"),
     )
