@@ -16,7 +16,7 @@ from basketlab.session import tune as tune_base
 # Rows of an Arrow batch: about 3 MB of ordinary documents, so a worker stays small.
 BATCH_ROWS = 1000
 # Distinct words a worker remembers the hash of before it starts afresh.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 
 
 def tune(spark: SparkSession) -> SparkSession:

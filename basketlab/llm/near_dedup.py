@@ -286,12 +286,11 @@ def link_classes(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per input row."""
     rows = cut(_classes(docs, doc_id, text, size, words))
-    classes = (
-        rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    )
-    table = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    heads = table.groupBy("band", "value").agg(F.min("id").alias("hub"), F.count("*").alias("n"))
-    buckets = cut(table.join(heads.where("n > 1"), ["band", "value"]).select("band", "value", "id", "hub"))
+    # Written once: both sides of the join below read the exploded bands (a band's hash tells its number).
+    classes = cut(rows.where("n > 0").groupBy("id").agg(F.first("bands").alias("bands")))
+    table = classes.select("id", F.explode("bands").alias("bucket"))
+    heads = table.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"))
+    buckets = cut(table.join(heads.where("n > 1"), "bucket").select("bucket", "id", "hub"))
     pairs = cut(buckets.where("id <> hub").select("id", "hub").distinct())
     ids = pairs.select("id").union(pairs.select("hub")).distinct()
     ids = cut(rows.join(ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
@@ -303,16 +302,16 @@ def link_classes(
 
     # Buckets whose members are not all in one component.
     labelled = buckets.join(first, "id", "left").select(
-        "band", "value", "hub", "id", F.coalesce("component", "id").alias("component")
+        "bucket", "hub", "id", F.coalesce("component", "id").alias("component")
     )
     mixed = (
-        labelled.groupBy("band", "value")
+        labelled.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
         .where("low <> high and n > 2")
-        .select("band", "value")
+        .select("bucket")
     )
     members = (
-        labelled.join(mixed, ["band", "value"], "left_semi")
+        labelled.join(mixed, "bucket", "left_semi")
         .where("id <> hub")
         .select("hub", "id", "component")
         .distinct()
