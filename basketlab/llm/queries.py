@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, near_dedup, packing, personal, phrases, quality, secrets
+from basketlab.llm import decontaminate, licenses, near_dedup, packing, personal, phrases, quality, secrets
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -32,6 +32,10 @@ def op5_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.neighbour_report(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def held_out(doc_id):
     """Rows whose labels may not be read; a null id is not one."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_phrase_fingerprints": op5_phrase_fingerprints,
     "op6_quality_scores": op6_quality_scores,
+    "op7_license_scan": op7_license_scan,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
 }
