@@ -1,18 +1,28 @@
 """A training-data pipeline over ``documents``: each stage is one text operator.
 
-A stage takes (spark, docs, sf_dir) and returns the documents it keeps, columns as they were;
-``run`` writes each stage's result to the shared folder and rereads it for the next.
+A stage takes (spark, docs, sf_dir) and returns the documents it keeps, columns as they were (the
+last returns the packed pieces); ``run`` writes each stage's result to the shared folder and rereads
+it for the next.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, near_dedup
+from basketlab.llm import decontaminate, near_dedup, packing, quality, secrets
 from basketlab.llm.common import documents, table
+from basketlab.llm.queries import tokenizer_file
 from basketlab.session import cut
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier rejects go."""
+    columns = docs.columns
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
     return near_dedup.keep_first(docs)
@@ -23,12 +33,26 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets are replaced and n_chars follows the new text."""
+    clean = secrets.redact(docs)
+    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and offset."""
+    return packing.pack(docs, tokenizer_file())
+
+
 STAGES = [
-    ("near-duplicates", near_duplicates),
-    ("decontamination", benchmark_leaks),
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("secret scans", secret_redaction),
+    ("best-fit packing", best_fit_packing),
 ]
 
-# The stages hash, fit and pack: SQL cannot say the same.
+# The stages fit, hash and pack: SQL cannot say the same.
 ORACLE_SQL = None
 
 
