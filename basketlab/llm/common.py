@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlab.session import cut as cut_base
 from basketlab.session import tune as tune_base
 
 # Rows of an Arrow batch: about 3 MB of ordinary documents, so a worker stays small.
@@ -26,6 +27,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its own shuffle files go at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = df.sparkSession.conf
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut_base(df)
+    finally:
+        conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/documents.parquet")
 

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlab.llm.common import WordHashes, add_columns, alnum_words, byte_list, window_hashes
-from basketlab.session import cut
+from basketlab.llm.common import WordHashes, add_columns, alnum_words, byte_list, cut, window_hashes
 
 SIZE = 10
 # Rows (window, item) of one broadcast: some 20 MB of benchmark text.

@@ -27,8 +27,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketlab.llm.common import cut
 from basketlab.llm.native import NOT_AFTER_WORD, NOT_BEFORE_WORD, WORD, words
-from basketlab.session import cut, local_table
+from basketlab.session import local_table
 
 THRESHOLD = 0.8
 BLOCK = 5_000

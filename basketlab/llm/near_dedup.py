@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.common import STEP, WordHashes, alnum_words, byte_list, mix, space_words
-from basketlab.session import cut
+from basketlab.llm.common import STEP, WordHashes, alnum_words, byte_list, cut, mix, space_words
 
 ROWS, BANDS = 5, 48
 TILE = 256

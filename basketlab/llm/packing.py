@@ -33,8 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.llm.common import byte_list
-from basketlab.session import cut
+from basketlab.llm.common import byte_list, cut
 
 CAPACITY = 2048
 # Pieces above capacity / k are large and grouped, the rest only fills gaps; k is the one of these

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.llm.native import normal_tail, overlaps, places
-from basketlab.session import cut
+from basketlab.llm.common import cut
 
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 16

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.llm import decontaminate, near_dedup, packing, quality, secrets
-from basketlab.llm.common import documents, table
+from basketlab.llm.common import cut, documents, table
 from basketlab.llm.queries import tokenizer_file
-from basketlab.session import cut
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
