@@ -63,7 +63,7 @@ def super_minhash(sets: list[np.ndarray], registers: int) -> np.ndarray:
     count = len(sets)
     out = np.full((count, registers), np.iinfo(np.uint64).max, np.uint64)
     flat = out.reshape(-1)
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     element = np.concatenate(sets) if count else np.empty(0, np.uint64)
     base = np.repeat(np.arange(count) * registers, sizes)
     swaps: list[np.ndarray] = []

@@ -73,3 +73,13 @@ def test_likeness_orders_edits():
     close, far = text[:-40] + "zzz", "".join(rng.choices("qwertyuiop", k=4000))
     a, b, c = phrases.fingerprint([text, close, far])
     assert phrases.likeness(a, b) > 0.7 > 0.3 > phrases.likeness(a, c)
+
+
+def test_more_rows_than_a_batch_of_results(docs_of):
+    rows = [(i, f"text {i} of some length {i * i}") for i in range(700)]
+    df = docs_of(rows).coalesce(1)
+    df.sparkSession.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert report(df) == brute(rows)
+    finally:
+        df.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
