@@ -1,0 +1,33 @@
+import pytest
+from compare import connect, differences
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from basketlab.llm import queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    assert differences(queries.QUERIES[name](spark, SMALL), connect(SMALL), queries.SQL[name]) is None
+
+
+def test_registered():
+    names = set(entry.queries())
+    assert set(queries.QUERIES) | {"pipeline"} <= names
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in (1, 2, 3, 4, 5, 6, 7, 9, 10)} | {n.split("_")[0] for n in queries.QUERIES if n.startswith("op8_")}
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, SMALL))
+        assert docs.columns == columns, name
+        now = docs.count()
+        assert 0 < now <= before, name
+        before = now
+    assert docs.where("n_chars <> length(text)").count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert pieces.where("piece = 0").count() == before
