@@ -1,106 +1,67 @@
-"""Row positions that stay parallel when a group, or the table as a whole, is very large."""
+"""Row positions that stay parallel whatever the size of a group.
+
+One method for every key: rows are ranged by (key, order, id), so a key with very many rows spans
+several ranges and one with few shares a range. Rows are numbered inside (range, key) and shifted by
+the counts of the ranges before.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.session import local_table
+from basketlab.session import cut
 
-# Ids are cut into slices of 2^20. Ids are unique, so no slice can hold more rows than that.
-SLICE = 1 << 20
-# A key with more rows than this is numbered slice by slice instead of in one window.
-HOT_ROWS = 1_000_000
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _slice(id_col: str, width: int) -> Column:
-    return F.floor(F.col(id_col) / F.lit(width))
+def _ranged(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` written in ranges of the columns (nulls first), with the range's number."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(partitions, *columns).withColumn("_range", F.spark_partition_id()))
 
 
-def global_position(df: DataFrame, id_col: str, name: str = "position", width: int = SLICE) -> DataFrame:
-    """0-based position of every row in ascending order of a unique integer id.
+def global_position(df: DataFrame, id_col: str, name: str = "position") -> DataFrame:
+    """0-based position of every row in ascending order of a unique id.
 
-    Only the per-slice counts (rows / 2^20 of them when ids are dense) meet in one task.
+    Only the counts per range (one row per shuffle partition) meet in one task.
     """
-    sliced = df.withColumn("_slice", _slice(id_col, width))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy("_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy("_slice").orderBy(id_col)
+    ranged = _ranged(df, id_col)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(*_BEFORE)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(id_col)
     return (
-        sliced.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, "_slice")
+        ranged.withColumn("_row", F.row_number().over(inside))
+        .join(offsets, "_range")
         .withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("long"))
-        .drop("_slice", "_row", "_before")
+        .select(*df.columns, name)
     )
 
 
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
-    """Keys with more than ``limit`` rows: at most rows / limit of them, usually none."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return [row[0] for row in counts.where(F.col("_n") > limit).select(key).collect()]
-
-
-def number_in_group(
-    df: DataFrame,
-    key: str,
-    order: str,
-    id_col: str,
-    hot: list | None = None,
-    width: int = SLICE,
-) -> DataFrame:
-    """Add ``number`` (1..n by order, id), ``previous`` (order value one row earlier), ``total``.
-
-    Ordinary keys take one window. Keys listed in ``hot`` are cut into (order value, id slice)
-    pieces, numbered inside the piece and shifted by the counts of the pieces before it.
-    """
-    by_key = Window.partitionBy(key)
-    if not hot:
-        ordered = by_key.orderBy(order, id_col)
-        return (
-            df.withColumn("number", F.row_number().over(ordered))
-            .withColumn("previous", F.lag(order).over(ordered))
-            .withColumn("total", F.count(F.lit(1)).over(by_key))
-        )
-    spark = df.sparkSession
-    hot_df = local_table(spark, [(k, True) for k in hot], f"{key} long,_hot boolean")
-    tagged = (
-        df.join(F.broadcast(hot_df), key, "left")  # at most rows / HOT_ROWS keys
-        .withColumn("_at", F.when(F.col("_hot"), F.col(order)))
-        .withColumn("_slice", F.when(F.col("_hot"), _slice(id_col, width)))
+def number_in_group(df: DataFrame, key: str, order: str, id_col: str) -> DataFrame:
+    """Add ``number`` (1..n by order, id; nulls first), ``previous`` (order value one row earlier), ``total``."""
+    ranged = _ranged(df, key, order, id_col)
+    # Nulls come first, so the last value of a range is its greatest (null if all are).
+    parts = ranged.groupBy(key, "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(order).alias("_last")
     )
-    piece = [key, "_at", "_slice"]
-    ordered = Window.partitionBy(*piece).orderBy(order, id_col)
-    rows = (
-        tagged.withColumn("_row", F.row_number().over(ordered))
-        .withColumn("_lag", F.lag(order).over(ordered))
-        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*piece)))
+    by_range = Window.partitionBy(key).orderBy("_range")
+    parts = parts.select(
+        F.col(key).alias("_key"),
+        F.col("_range").alias("_at"),
+        F.coalesce(F.sum("_n").over(by_range.rowsBetween(*_BEFORE)), F.lit(0)).alias("_before"),
+        F.lag("_last").over(by_range).alias("_earlier"),
+        F.sum("_n").over(Window.partitionBy(key)).alias("_total"),
     )
-    pieces = tagged.where("_hot").groupBy(*piece).agg(F.count(F.lit(1)).alias("_m"))
-    ats = pieces.groupBy(key, "_at").agg(F.sum("_m").alias("_am"))
-    at_order = by_key.orderBy("_at")
-    earlier = at_order.rowsBetween(Window.unboundedPreceding, -1)
-    ats = ats.select(
-        key,
-        "_at",
-        F.coalesce(F.sum("_am").over(earlier), F.lit(0)).alias("_before_at"),
-        F.lag("_at").over(at_order).alias("_previous_at"),
-        F.sum("_am").over(by_key).alias("_total"),
+    inside = Window.partitionBy("_range", key).orderBy(order, id_col)
+    rows = ranged.withColumn("_row", F.row_number().over(inside)).withColumn(
+        "_lag", F.lag(order).over(inside)
     )
-    slice_order = Window.partitionBy(key, "_at").orderBy("_slice")
-    before = slice_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(
-        *piece, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before_slice")
-    ).join(ats, [key, "_at"])
-    shift = F.coalesce(F.col("_before_at") + F.col("_before_slice"), F.lit(0))
-    at_start = F.when(F.col("_before_slice") > 0, F.col("_at")).otherwise(F.col("_previous_at"))
-    return (
-        rows.join(offsets, piece, "left")
-        .withColumn("number", (F.col("_row") + shift).cast("int"))
-        .withColumn("previous", F.when(F.col("_row") == 1, at_start).otherwise(F.col("_lag")))
-        .withColumn("total", F.coalesce("_total", "_n"))
-        .select(*df.columns, "number", "previous", "total")
+    same = (F.col("_range") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(parts, same).select(
+        *df.columns,
+        (F.col("_before") + F.col("_row")).cast("int").alias("number"),
+        F.when(F.col("_row") == 1, F.col("_earlier")).otherwise(F.col("_lag")).alias("previous"),
+        F.col("_total").alias("total"),
     )

@@ -7,33 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows per group Spark itself trims each map task before the shuffle
-# (window group limit); beyond it the trim is done here in two steps.
-_SPARK_TRIMS_BELOW = 1000
-_SALTS = 64
-
 
 def top_per_group(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    n: int,
-    spread: str,
-    rank_col: str = "rank",
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank_col: str = "rank"
 ) -> DataFrame:
-    """Rows of ``df`` with rank 1..n inside each group.
+    """Rows of ``df`` with rank 1..n inside each group. ``order`` must be a total order.
 
-    ``order`` must be a total order. ``spread`` names a column that differs within a group;
-    a large ``n`` is first cut inside (group, hash of spread) so that the last step sees at
-    most ``64 * n`` rows per group, whatever the size of the group.
+    Spark trims each map task to n rows per group before the shuffle (window group limit; the
+    session raises its threshold, see ``session.SKEW``), so a hot group sends n rows per task.
     """
-    if n > _SPARK_TRIMS_BELOW:
-        part = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(_SALTS)))
-            .withColumn("_part_rank", F.row_number().over(part))
-            .where(F.col("_part_rank") <= n)
-            .drop("_salt", "_part_rank")
-        )
     whole = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(whole)).where(F.col(rank_col) <= n)

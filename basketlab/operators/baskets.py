@@ -53,7 +53,7 @@ def cluster_baskets(
         return rows
     counts = rows.groupBy("cluster", "item").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("item")]
-    top = top_per_group(counts, ["cluster"], order, top_n, spread="item")
+    top = top_per_group(counts, ["cluster"], order, top_n)
     return rows.join(top.select("cluster", "item"), ["cluster", "item"], "left_semi").select(
         "cluster", "order_id", "item"
     )

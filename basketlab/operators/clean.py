@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.functions.position import SLICE, global_position
+from basketlab.functions.position import global_position
 
 DAYS = "days_since_prior_order"
 
 
-def sample_first(orders: DataFrame, fraction: float = 1.0, width: int = SLICE) -> DataFrame:
+def sample_first(orders: DataFrame, fraction: float = 1.0) -> DataFrame:
     """The first ``int(rows * fraction)`` orders by order_id (1.0 keeps the table as it is)."""
     if fraction >= 1.0:
         return orders
     keep = orders.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).scalar()
-    placed = global_position(orders, "order_id", "_position", width)
+    placed = global_position(orders, "order_id", "_position")
     return placed.where(F.col("_position") < keep).select(*orders.columns)
 
 

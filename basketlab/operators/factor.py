@@ -2,12 +2,13 @@
 
 Interactions are long rows (user_id, item, value [, group]). Items are a bounded set: the
 aisles, or the top N products of a segment. The item x item Gram matrix is summed over
-blocks of users, decomposed once per group, and users are projected in Arrow batches.
+blocks of users and decomposed once per group. Users are dealt to blocks of their group; the
+group's factors meet each block in a co-grouped task, so no factor passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +24,8 @@ from basketlab.operators.rules_eval import classification
 from basketlab.session import cut
 
 _ALL = "_all"
-# A dense eigen-decomposition of one group is done in one task; this bounds its size.
-MAX_ITEMS = 10_000
-# Item factors are sent to every executor; this bounds them (doubles, all groups together).
-MAX_FACTOR_CELLS = 50_000_000
-# Requested users whose neighbours are looked up in one run.
-MAX_REQUESTS = 10_000
-# Partial Gram matrices are at most this many, so their sum stays a small shuffle.
-GRAM_TASKS = 1024
+# Users of a group that one task holds (sparse rows), and of these at once as a dense block.
+USERS_PER_TASK = 16_384
 USERS_PER_BLOCK = 1024
 THRESHOLD = 0.5
 # Scores are compared after rounding, so float noise cannot reorder equal items.
@@ -71,7 +66,7 @@ def cluster_ratings(
         user_lines.join(user_clusters.select("user_id", "cluster"), "user_id"), item_col, "cluster"
     )
     totals = counts.groupBy("cluster", "item").agg(F.sum("value").alias("n"))
-    top = top_per_group(totals, ["cluster"], [F.desc("n"), F.asc("item")], top_n, spread="item")
+    top = top_per_group(totals, ["cluster"], [F.desc("n"), F.asc("item")], top_n)
     return counts.join(top.select("cluster", "item"), ["cluster", "item"], "left_semi").select(
         "cluster", "user_id", "item", F.lit(1.0).alias("value")
     )
@@ -138,43 +133,33 @@ def _add_gram(gram: np.ndarray, pdf: pd.DataFrame) -> None:
         gram.ravel()[keys] += np.bincount(where, val[left] * val[right])
 
 
+def _in_blocks(vectors: DataFrame, g: str) -> DataFrame:
+    """``vectors`` with ``block``: parts of a group of about USERS_PER_TASK users."""
+    sizes = vectors.groupBy(g).agg(F.ceil(F.count(F.lit(1)) / USERS_PER_TASK).alias("blocks"))
+    block = F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int")
+    return vectors.join(sizes, g).withColumn("block", block)
+
+
 def item_gram(vectors: DataFrame, sizes: DataFrame, g: str) -> DataFrame:
     """(group, i, j, dot) with i <= j: non-zero cells of the Gram matrix of each group.
 
-    Tasks see their users ordered by group and hold one partial matrix at a time; only its
-    non-zero upper half is shuffled and summed.
+    Each block of users gives one partial matrix; only its non-zero upper half is shuffled and
+    summed.
     """
-    spark = vectors.sparkSession
-    counts = {r[g]: r["n"] for r in sizes.collect()}  # one row per group
-    too_many = {k: n for k, n in counts.items() if n > MAX_ITEMS}
-    if too_many:
-        raise ValueError(f"more than {MAX_ITEMS} items per group, keep the top N first: {too_many}")
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, gram = None, None
-
-        def rows() -> pd.DataFrame:
-            half = np.triu(gram)
-            used = np.flatnonzero(half.any(axis=1))
-            js = [np.flatnonzero(half[i]).astype("int32") for i in used]
-            dots = [half[i, j] for i, j in zip(used, js)]
-            return pd.DataFrame({g: key, "i": used.astype("int32"), "js": js, "dots": dots})
-
-        for batch in batches:
-            for group_key, part in batch.groupby(g, sort=True):
-                if group_key != key:
-                    if gram is not None:
-                        yield rows()
-                    key, gram = group_key, np.zeros((counts[group_key],) * 2)
-                _add_gram(gram, part)
-        if gram is not None:
-            yield rows()
-
-    tasks = min(GRAM_TASKS, spark.sparkContext.defaultParallelism)
-    parts = (
-        vectors.coalesce(tasks)
-        .sortWithinPartitions(g)
-        .mapInPandas(partial, f"{g} long, i int, js array<int>, dots array<double>")
+    rows = _in_blocks(vectors, g).join(sizes.select(g, "n"), g)
+
+    def partial(part: pd.DataFrame) -> pd.DataFrame:
+        gram = np.zeros((int(part["n"].iloc[0]),) * 2)
+        _add_gram(gram, part)
+        half = np.triu(gram)
+        used = np.flatnonzero(half.any(axis=1))
+        js = [np.flatnonzero(half[i]).astype("int32") for i in used]
+        dots = [half[i, j] for i, j in zip(used, js)]
+        key = part[g].iloc[0]
+        return pd.DataFrame({g: key, "i": used.astype("int32"), "js": js, "dots": dots})
+
+    parts = rows.groupBy(g, "block").applyInPandas(
+        partial, f"{g} long, i int, js array<int>, dots array<double>"
     )
     cells = parts.select(g, "i", F.explode(F.arrays_zip("js", "dots")).alias("c"))
     return cells.groupBy(g, "i", F.col("c.js").alias("j")).agg(F.sum("c.dots").alias("dot"))
@@ -276,47 +261,47 @@ def explained_variance(model: SvdModel) -> DataFrame:
     ).drop(_ALL)
 
 
-def _broadcast_factors(model: SvdModel):
-    """{group: (items, V)} on every executor, after checking its size."""
-    g = model.group
-    cells = model.factors.agg(F.sum(F.size("v"))).first()[0] or 0
-    if cells > MAX_FACTOR_CELLS:
-        raise ValueError(f"{cells} factor values; lower n_components or the top N")
-    pdf = model.factors.select(g, "item", "idx", "v").toPandas().sort_values([g, "idx"])
-    table = {
-        key: (part["item"].to_numpy(), np.stack(part["v"].to_numpy()))
-        for key, part in pdf.groupby(g)
-    }
-    return model.factors.sparkSession.sparkContext.broadcast(table)
-
-
-def _model_vectors(model: SvdModel, interactions: DataFrame) -> DataFrame:
+def _per_block(
+    model: SvdModel, interactions: DataFrame, fn: Callable[..., dict], schema: str
+) -> DataFrame:
+    """Rows of ``fn(items, V, users, X)`` for dense blocks X of the users in ``interactions``.
+
+    A group's factors are sent to each of its blocks of users, which is what the shuffle carries;
+    neither side is collected.
+    """
     g = model.group
-    return user_vectors(interactions, model.factors.select(g, "item", "idx"), g)
+    index = model.factors.select(g, "item", "idx")
+    users = _in_blocks(user_vectors(interactions, index, g), g)
+    users = cut(users.select(g, "block", "user_id", "idxs", "vals"))
+    blocks = users.select(F.col(g).alias("_g"), F.col("block").alias("_block")).distinct()
+    factors = model.factors.select(g, "item", "idx", "v").join(blocks, F.col(g) == F.col("_g"))
+
+    def run(part: pd.DataFrame, factor: pd.DataFrame) -> pd.DataFrame:
+        factor = factor.sort_values("idx")
+        items, v = factor["item"].to_numpy(), np.stack(factor["v"].to_numpy())
+        out = []
+        for where, block in _blocks(part, len(v)):
+            rows = fn(items, v, part["user_id"].to_numpy()[where], block)
+            out.append(pd.DataFrame({g: part[g].iloc[0], **rows}))
+        return pd.concat(out, ignore_index=True)
+
+    return (
+        users.groupBy(g, "block")
+        .cogroup(factors.groupBy("_g", "_block"))
+        .applyInPandas(run, f"{g} long, {schema}")
+    )
 
 
 def user_factors(model: SvdModel, interactions: DataFrame | None = None) -> DataFrame:
     """(group, user_id, factor, norm): rows of X V scaled to length 1 (a zero row stays zero)."""
-    g = model.group
-    table = _broadcast_factors(model)
     rows = model.interactions if interactions is None else _with_group(interactions, model.group_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(g):
-                v = table.value[key][1]
-                for where, block in _blocks(part, len(v)):
-                    f = block @ v
-                    norm = np.sqrt((f * f).sum(axis=1))
-                    f = f / np.where(norm > 0, norm, 1.0)[:, None]
-                    users = part["user_id"].to_numpy()[where]
-                    yield pd.DataFrame({g: key, "user_id": users, "factor": list(f)})
+    def project(items: np.ndarray, v: np.ndarray, users: np.ndarray, x: np.ndarray) -> dict:
+        f = x @ v
+        norm = np.sqrt((f * f).sum(axis=1))
+        return {"user_id": users, "factor": list(f / np.where(norm > 0, norm, 1.0)[:, None])}
 
-    return (
-        _model_vectors(model, rows)
-        .mapInPandas(run, f"{g} long, user_id long, factor array<double>")
-        .drop(_ALL)
-    )
+    return _per_block(model, rows, project, "user_id long, factor array<double>").drop(_ALL)
 
 
 def recommend(
@@ -327,29 +312,17 @@ def recommend(
     Every user with an interaction is served unless ``users`` (user_id) narrows the run.
     """
     g = model.group
-    table = _broadcast_factors(model)
     rows = model.interactions if interactions is None else _with_group(interactions, model.group_col)
     if users is not None:
         rows = rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
     item_type = dict(model.factors.dtypes)["item"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(g):
-                items, v = table.value[key]
-                for where, block in _blocks(part, len(v)):
-                    best, scores = _best((block @ v) @ v.T, n)
-                    yield pd.DataFrame(
-                        {
-                            g: key,
-                            "user_id": part["user_id"].to_numpy()[where],
-                            "items": list(items[best]),
-                            "scores": list(scores),
-                        }
-                    )
-
-    lists = _model_vectors(model, rows).mapInPandas(
-        run, f"{g} long, user_id long, items array<{item_type}>, scores array<double>"
+    def lists_of(items: np.ndarray, v: np.ndarray, users: np.ndarray, x: np.ndarray) -> dict:
+        best, scores = _best((x @ v) @ v.T, n)
+        return {"user_id": users, "items": list(items[best]), "scores": list(scores)}
+
+    lists = _per_block(
+        model, rows, lists_of, f"user_id long, items array<{item_type}>, scores array<double>"
     )
     pairs = F.posexplode(F.arrays_zip("items", "scores")).alias("pos", "p")
     return lists.select(g, "user_id", pairs).select(
@@ -361,8 +334,19 @@ def recommend(
 def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and rounded scores of the n best columns per row, ties to the lower position."""
     scores = np.round(scores, TIE_DIGITS) + 0.0
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-    return best, np.take_along_axis(scores, best, axis=1)
+    if n >= scores.shape[1]:
+        best = np.argsort(-scores, axis=1, kind="stable")
+        return best, np.take_along_axis(scores, best, axis=1)
+    # All columns above the n-th score, then the first of those that tie with it.
+    edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n]
+    above = scores > edge
+    tied = scores == edge
+    room = n - above.sum(axis=1, keepdims=True)
+    chosen = above | (tied & (np.cumsum(tied, axis=1) <= room))
+    best = np.nonzero(chosen)[1].reshape(len(scores), n)
+    found = np.take_along_axis(scores, best, axis=1)
+    order = np.argsort(-found, axis=1, kind="stable")
+    return np.take_along_axis(best, order, axis=1), np.take_along_axis(found, order, axis=1)
 
 
 def holdout_rows(model: SvdModel, k: int = 5) -> DataFrame:
@@ -370,39 +354,31 @@ def holdout_rows(model: SvdModel, k: int = 5) -> DataFrame:
 
     The users x items cells never leave the task that computes them.
     """
-    g = model.group
-    table = _broadcast_factors(model)
     test = model.interactions.where(~model.train_mask)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(g):
-                v = table.value[key][1]
-                for where, x in _blocks(part, len(v)):
-                    r = (x @ v) @ v.T
-                    truth, guess = x > 0, r >= THRESHOLD
-                    best, _ = _best(r, k)
-                    hits = np.take_along_axis(truth, best, axis=1).astype("int32")
-                    yield pd.DataFrame(
-                        {
-                            g: key,
-                            "user_id": part["user_id"].to_numpy()[where],
-                            "cells": np.full(len(x), x.shape[1], dtype="int64"),
-                            "squared": ((x - r) ** 2).sum(axis=1),
-                            "absolute": np.abs(x - r).sum(axis=1),
-                            "tp": (truth & guess).sum(axis=1),
-                            "fp": (~truth & guess).sum(axis=1),
-                            "fn": (truth & ~guess).sum(axis=1),
-                            "tn": (~truth & ~guess).sum(axis=1),
-                            "hits": list(hits),
-                            "n_true": truth.sum(axis=1),
-                        }
-                    )
-
-    return _model_vectors(model, test).mapInPandas(
-        run,
-        f"{g} long, user_id long, cells long, squared double, absolute double, tp long, fp long, "
-        "fn long, tn long, hits array<int>, n_true long",
+    def cells_of(items: np.ndarray, v: np.ndarray, users: np.ndarray, x: np.ndarray) -> dict:
+        r = (x @ v) @ v.T
+        truth, guess = x > 0, r >= THRESHOLD
+        best, _ = _best(r, k)
+        return {
+            "user_id": users,
+            "cells": np.full(len(x), x.shape[1], dtype="int64"),
+            "squared": ((x - r) ** 2).sum(axis=1),
+            "absolute": np.abs(x - r).sum(axis=1),
+            "tp": (truth & guess).sum(axis=1),
+            "fp": (~truth & guess).sum(axis=1),
+            "fn": (truth & ~guess).sum(axis=1),
+            "tn": (~truth & ~guess).sum(axis=1),
+            "hits": list(np.take_along_axis(truth, best, axis=1).astype("int32")),
+            "n_true": truth.sum(axis=1),
+        }
+
+    return _per_block(
+        model,
+        test,
+        cells_of,
+        "user_id long, cells long, squared double, absolute double, tp long, fp long, fn long, "
+        "tn long, hits array<int>, n_true long",
     )
 
 
@@ -426,7 +402,9 @@ def evaluate(model: SvdModel, k: int = 5, order: str = ranking.BEST_FIRST) -> Da
     )
     errors = errors.select("*", *classification(tp, fp, fn, tn))
     ranks = ranking.from_hits(rows, k, order, g)
-    return errors.join(ranks, g).drop(_ALL)
+    # A group without held-out users has no figures, but it is listed.
+    groups = model.factors.select(g).distinct()
+    return groups.join(errors, g, "left").join(ranks, g, "left").drop(_ALL)
 
 
 def similar_users(model: SvdModel, requests: DataFrame, k: int) -> DataFrame:
@@ -434,38 +412,42 @@ def similar_users(model: SvdModel, requests: DataFrame, k: int) -> DataFrame:
     against every train user of their group (themselves included, as neighbours of rank 1)."""
     g = model.group
     factors = cut(_with_group(user_factors(model), model.group_col))
+    train = _in_blocks(factors.where(model.train_mask), g).drop("blocks")
     asked = factors.join(requests.select("user_id").distinct(), "user_id", "left_semi")
-    wanted = asked.limit(MAX_REQUESTS + 1).toPandas()
-    if len(wanted) > MAX_REQUESTS:
-        raise ValueError(f"more than {MAX_REQUESTS} requested users; use recommend() instead")
-    groups = {
-        key: (p["user_id"].to_numpy(), np.stack(p["factor"].to_numpy()))
-        for key, p in wanted.groupby(g)
-    }
-    table = factors.sparkSession.sparkContext.broadcast(groups)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, part in batch.groupby(g):
-                if key not in table.value:
-                    continue
-                users, f = table.value[key]
-                part = part.sort_values("user_id")
-                near, scores = _best(f @ np.stack(part["factor"].to_numpy()).T, k)
-                yield pd.DataFrame(
+    asked = _in_blocks(asked, g).drop("blocks").withColumnRenamed("block", "asking")
+    # Every block of requests meets every block of train users of its group, a tile per task.
+    left = train.join(asked.select(g, "asking").distinct(), g)
+    right = asked.join(train.select(g, "block").distinct(), g)
+    right = right.select(*[F.col(c).alias(f"asked_{c}") for c in right.columns])
+
+    def tile(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if part.empty or wanted.empty:
+            return pd.DataFrame({c: [] for c in (g, "user_id", "neighbour", "similarity")})
+        part = part.sort_values("user_id")
+        train_users, f = part["user_id"].to_numpy(), np.stack(part["factor"].to_numpy()).T
+        out = []
+        for start in range(0, len(wanted), USERS_PER_BLOCK):
+            some = wanted.iloc[start : start + USERS_PER_BLOCK]
+            near, scores = _best(np.stack(some["asked_factor"].to_numpy()) @ f, k)
+            out.append(
+                pd.DataFrame(
                     {
-                        g: key,
-                        "user_id": np.repeat(users, near.shape[1]),
-                        "neighbour": part["user_id"].to_numpy()[near].ravel(),
+                        g: part[g].iloc[0],
+                        "user_id": np.repeat(some["asked_user_id"].to_numpy(), near.shape[1]),
+                        "neighbour": train_users[near].ravel(),
                         "similarity": scores.ravel(),
                     }
                 )
+            )
+        return pd.concat(out, ignore_index=True)
 
-    found = factors.where(model.train_mask).mapInPandas(
-        run, f"{g} long, user_id long, neighbour long, similarity double"
+    found = (
+        left.groupBy(g, "block", "asking")
+        .cogroup(right.groupBy(*[f"asked_{c}" for c in (g, "block", "asking")]))
+        .applyInPandas(tile, f"{g} long, user_id long, neighbour long, similarity double")
     )
     order = [F.desc("similarity"), F.asc("neighbour")]
-    return top_per_group(found, [g, "user_id"], order, k, spread="neighbour").drop(_ALL)
+    return top_per_group(found, [g, "user_id"], order, k).drop(_ALL)
 
 
 def items_by_neighbour_index(model: SvdModel, similar: DataFrame) -> DataFrame:

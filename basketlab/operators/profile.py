@@ -79,7 +79,11 @@ def describe(name: str, df: DataFrame, accuracy: int | None = None) -> DataFrame
     """
     if accuracy is None:
         accuracy = max(ACCURACY, df.count() // ROWS_PER_RANK)
+    columns = "table_name string,column_name string,n long,mean double,std double,lo double,"
+    columns += "p25 double,p50 double,p75 double,hi double"
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    if not numeric:
+        return local_table(df.sparkSession, [], columns)
     step = 4.0 / accuracy
     probes = [max(0.0, q - step) for q in QUARTILES] + [min(1.0, q + step) for q in QUARTILES]
     first = df.agg(
@@ -107,6 +111,9 @@ def describe(name: str, df: DataFrame, accuracy: int | None = None) -> DataFrame
             low = s.lo if small or q <= step else s.probes[i]
             high = s.hi if small or q + step >= 1 else s.probes[i + len(QUARTILES)]
             brackets.append((c, q, float(low), float(high), q * (s.n - 1)))
+    if not brackets:
+        rows = [(name, c, n, mean, std, lo, None, None, None, hi) for c, n, mean, std, lo, hi in stats]
+        return local_table(spark, rows, columns)
     quartiles = _quartiles(df, brackets)
     table = local_table(
         spark, stats, "column_name string,n long,mean double,std double,lo double,hi double"
@@ -170,7 +177,9 @@ def _quartiles(df: DataFrame, brackets: list[tuple]) -> DataFrame:
     low = at(F.floor("target"))
     high = at(F.ceil("target"))
     weight = F.max(F.col("target") - F.floor("target"))
-    per = ranked.groupBy("column_name", "q").agg((low + (high - low) * weight).alias("value"))
+    value = low + (high - low) * weight
+    missed = F.raise_error(F.lit("a bracket missed its rank; pass a higher accuracy"))
+    per = ranked.groupBy("column_name", "q").agg(F.coalesce(value, missed.cast("double")).alias("value"))
 
     def quartile(q: float, label: str):
         return F.max(F.when(F.col("q") == q, F.col("value"))).alias(label)

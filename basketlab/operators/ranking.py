@@ -59,7 +59,7 @@ def hits_of(
     """``truth``: (user_id, item). ``scores``: (user_id, item, score), ties to the lower item."""
     keys = [*([group_col] if group_col else []), "user_id"]
     truth = truth.select(*keys, "item").distinct()
-    top = top_per_group(scores, keys, [F.desc("score"), F.asc("item")], k, spread="item")
+    top = top_per_group(scores, keys, [F.desc("score"), F.asc("item")], k)
     marked = top.join(truth.withColumn("_true", F.lit(1)), [*keys, "item"], "left")
     lists = marked.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", F.coalesce("_true", F.lit(0)).alias("hit"))))

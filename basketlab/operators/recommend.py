@@ -193,7 +193,7 @@ def by_rules(
         "weight_confidence", "weight_lift",
     )
     rows = best.join(detail, ["weights_of", "place"]).drop("weights_of", "place")
-    return top_per_group(rows, ["user_id"], [F.desc("score"), F.asc("item")], n, spread="item")
+    return top_per_group(rows, ["user_id"], [F.desc("score"), F.asc("item")], n)
 
 
 def bought_together(
@@ -215,10 +215,10 @@ def bought_together(
     first = F.desc("score") if keep == "best" else F.asc("score")
     one = top_per_group(
         pairs, [group_col, "product", "item"], [first, F.asc("antecedents"), F.asc("consequents")],
-        1, spread="score",
+        1,
     ).drop("rank", "antecedents", "consequents")
     order = [F.desc("score"), F.asc("item")]
-    return top_per_group(one, [group_col, "product"], order, n, spread="item")
+    return top_per_group(one, [group_col, "product"], order, n)
 
 
 # --- products -----------------------------------------------------------------------------
@@ -250,11 +250,11 @@ def _named(top: DataFrame, products: DataFrame) -> DataFrame:
 
 def cluster_aisle_top_products(counts: DataFrame, products: DataFrame, n: int = 3) -> DataFrame:
     keys = ["cluster", "aisle_id"]
-    return _named(top_per_group(counts, keys, _by_count(), n, spread="product_id"), products)
+    return _named(top_per_group(counts, keys, _by_count(), n), products)
 
 
 def cluster_top_sold(counts: DataFrame, products: DataFrame, n: int = 10) -> DataFrame:
-    top = top_per_group(counts, ["cluster"], _by_count(), n, spread="product_id")
+    top = top_per_group(counts, ["cluster"], _by_count(), n)
     return _named(top.drop("aisle_id"), products)
 
 
@@ -285,7 +285,7 @@ def aisle_products(
         .agg((F.count(F.lit(1)) * 2).alias("score"))
     )
     first = top_per_group(
-        products, ["aisle_id"], [F.asc("product_id")], 2 * n - 1, spread="product_id"
+        products, ["aisle_id"], [F.asc("product_id")], 2 * n - 1
     ).select("aisle_id", "product_id")
     shelf = first.groupBy("aisle_id").agg(F.collect_list("product_id").alias("shelf"))
     filler = (
@@ -300,7 +300,7 @@ def aisle_products(
         .withColumn("previously_bought", F.col("score") > 1)
     )
     order = [F.desc("score"), F.desc("previously_bought"), F.asc("product_id")]
-    top = top_per_group(rows, ["user_id", "aisle_id"], order, n, spread="product_id")
+    top = top_per_group(rows, ["user_id", "aisle_id"], order, n)
     return _named(top, products)
 
 

@@ -89,7 +89,7 @@ def query(
 ) -> DataFrame:
     """Top ``n`` documents per query: 0.7 * text + 0.3 * recommender, missing scores count 0.
 
-    ``svd``: (query_id, doc_id, svd_score), at most SVD_LIST per query. Documents scoring 0 on
+    ``svd``: (query_id, doc_id, svd_score), of any length per query. Documents scoring 0 on
     both sides can only fill the list from the lowest ids, so a short run of these joins the
     candidates instead of every document.
     """
@@ -100,7 +100,9 @@ def query(
     if svd is not None:
         zero = F.lit(0.0).alias("nlp_score")
         found = found.unionByName(svd.select("query_id", "doc_id", zero, "svd_score"))
-        fill += SVD_LIST
+        # A listed document may score below 0, so the filler must reach past the longest list.
+        longest = svd.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        fill += longest or 0
     lowest = docs.select("doc_id").orderBy("doc_id").limit(fill)
     run = lowest.agg(F.sort_array(F.collect_list("doc_id"))).scalar()
     padding = queries.select("query_id", F.explode(run).alias("doc_id")).select(
@@ -115,7 +117,7 @@ def query(
     # Rounded before ranking: equal texts must tie whatever the order of their sums.
     ranked = merged.withColumn("combined_score", F.round(combined, 9))
     order = [F.desc("combined_score"), F.asc("doc_id")]
-    return top_per_group(ranked, ["query_id"], order, n, spread="doc_id")
+    return top_per_group(ranked, ["query_id"], order, n)
 
 
 def products(results: DataFrame, star: DataFrame, bought: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import chain
+from operator import add
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -82,7 +84,7 @@ def assign(
             (F.col(f"{c}_scaled") - F.lit(float(x))) * (F.col(f"{c}_scaled") - F.lit(float(x)))
             for c, x in zip(columns, centre)
         ]
-        return parts[0] + parts[1] + parts[2]
+        return reduce(add, parts)
 
     choices = F.array(
         *[

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +71,7 @@ def integrity_report(ws: Workspace) -> DataFrame:
 
 @query
 def profile_shape(ws: Workspace) -> DataFrame:
-    return profile.shape(ws.stored.named())
+    return profile.shape(ws.view.retail.named())
 
 
 HEAD_ORDER = {
@@ -84,7 +86,7 @@ HEAD_ORDER = {
 @query
 def profile_head(ws: Workspace) -> DataFrame:
     parts = []
-    for name, df in ws.stored.named().items():
+    for name, df in ws.view.retail.named().items():
         text = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
         first = profile.head(df, HEAD_ORDER[name])
         parts.append(first.select(F.lit(name).alias("table_name"), text.alias("row_text")))
@@ -96,20 +98,20 @@ def profile_head(ws: Workspace) -> DataFrame:
 
 @query
 def profile_info(ws: Workspace) -> DataFrame:
-    return profile.info(ws.stored.named())
+    return profile.info(ws.view.retail.named())
 
 
 @query
 def profile_nulls(ws: Workspace) -> DataFrame:
-    return profile.nulls(ws.stored.named())
+    return profile.nulls(ws.view.retail.named())
 
 
 @query
 def profile_describe(ws: Workspace) -> DataFrame:
-    out = None
-    for name, df in ws.stored.named().items():
-        part = profile.describe(name, df)
-        out = part if out is None else out.unionByName(part)
+    named = ws.stored.named()
+    with ThreadPoolExecutor(len(named)) as pool:  # the tables' jobs run side by side
+        parts = list(pool.map(lambda item: profile.describe(*item), named.items()))
+    out = reduce(DataFrame.unionByName, parts)
     return out.select(
         "table_name", "column_name", "n", *rounded("mean", "std", "lo", "p25", "p50", "p75", "hi")
     )

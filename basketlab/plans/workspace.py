@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.operators import baskets, clean, factor, recommend, rules_eval, search, segment
-from basketlab.session import cut, tune
+from basketlab.session import cut, drop_cuts, tune
 from basketlab.sources import tables
 from basketlab.sources.retail_view import RetailView
 
@@ -41,11 +42,15 @@ class Workspace:
         self.spark = tune(spark)
         self.view = RetailView(spark, folder)
 
+    def close(self) -> int:
+        """Delete the tables this session wrote; results that read them must be finished."""
+        return drop_cuts(self.spark)
+
     # inputs
     @cached_property
     def stored(self) -> tables.Retail:
-        """The retail tables written out, for reports that scan a table several times."""
-        return tables.Retail(**{n: cut(df) for n, df in self.view.retail.named().items()})
+        """The retail tables for reports that scan a table several times: the derived one is written."""
+        return replace(self.view.retail, order_products=cut(self.view.order_products))
 
     @cached_property
     def clean_orders(self) -> DataFrame:
@@ -53,7 +58,8 @@ class Workspace:
 
     @cached_property
     def user_lines(self) -> DataFrame:
-        return baskets.user_lines(self.view.lines, self.clean_orders, self.view.products)
+        """Written once: rules, factors and lists all start from these lines."""
+        return cut(baskets.user_lines(self.view.lines, self.clean_orders, self.view.products))
 
     @cached_property
     def star(self) -> DataFrame:
@@ -61,7 +67,8 @@ class Workspace:
 
     @cached_property
     def rfm(self) -> DataFrame:
-        return segment.rfm(self.view.orders, self.view.lines)
+        """One row per user, written once: its moments and its rows are read by turns."""
+        return cut(segment.rfm(self.view.orders, self.view.lines))
 
     @cached_property
     def scaled(self) -> DataFrame:

@@ -7,17 +7,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.position import HOT_ROWS, hot_keys, number_in_group
+from basketlab.functions.position import number_in_group
+from basketlab.session import cut
 from basketlab.sources.tables import Retail
 
 
 class RetailView:
     """Lazy tables over one folder of parquet files. Only the columns used are read."""
 
-    def __init__(self, spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS):
+    def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self.hot_rows = hot_rows
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -57,14 +57,6 @@ class RetailView:
     def products(self) -> DataFrame:
         return self.star.select("product_id", "product_name", "aisle_id", "department_id")
 
-    @cached_property
-    def _hot_users(self) -> list:
-        return hot_keys(
-            self.source("orders").select(F.col("o_custkey").alias("user_id")),
-            "user_id",
-            self.hot_rows,
-        )
-
     @cached_property
     def orders(self) -> DataFrame:
         base = self.source("orders").select(
@@ -72,9 +64,10 @@ class RetailView:
             F.col("o_custkey").alias("user_id"),
             F.col("o_orderdate").alias("at"),
         )
-        numbered = number_in_group(base, "user_id", "at", "order_id", self._hot_users)
+        numbered = number_in_group(base, "user_id", "at", "order_id")
         last = F.col("number") == F.col("total")
-        return numbered.select(
+        # Written once: features, models and lists all read the numbered orders.
+        return cut(numbered.select(
             "order_id",
             "user_id",
             F.when(last, "train").otherwise("prior").alias("eval_set"),
@@ -82,7 +75,7 @@ class RetailView:
             (F.dayofweek("at") - 1).alias("order_dow"),
             F.hour("at").alias("order_hour_of_day"),
             F.datediff("at", "previous").cast("double").alias("days_since_prior_order"),
-        )
+        ))
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -1,9 +1,10 @@
 import pytest
 from conftest import values
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from basketlab.functions.position import global_position, number_in_group
 from basketlab.operators import clean
-from basketlab.sources.retail_view import RetailView
 
 ROWS = "order_id long, user_id long, days_since_prior_order double"
 
@@ -40,28 +41,28 @@ def test_orders_global(spark, gaps, kept, removed):
 
 def test_sample_first_keeps_lowest_ids(spark):
     df = orders(spark, *[(i % 3, 1.0) for i in range(50)])
-    kept = clean.sample_first(df, 0.3, width=7).select("order_id").collect()
+    kept = clean.sample_first(df, 0.3).select("order_id").collect()
     assert sorted(r[0] for r in kept) == list(range(15))
     assert clean.sample_first(df).count() == 50
 
 
 def test_global_position_with_gaps_between_ids(spark):
-    ids = [3, 8, 9, 100, 101, 5000]
+    ids = [-7, 3, 8, 9, 100, 101, 5000, 1 << 40, 1 << 61, (1 << 62) + 1]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
-    assert values(global_position(df, "id", width=8)) == sorted(
+    assert values(global_position(df, "id")) == sorted(
         [(i, p) for p, i in enumerate(ids)], key=str
     )
 
 
-def test_large_groups_are_numbered_like_small_ones(spark):
-    rows = [(u, d, u * 1000 + i) for u in (1, 2) for i, d in enumerate([5, 5, 5, 2, 2, 9, 1, 5])]
+def test_numbers_equal_a_plain_window_for_hot_users_and_null_dates(spark):
+    rows = [(1 if i % 3 else i, None if i % 4 == 0 else i * 7 % 50, i * (1 << 40) - 9) for i in range(400)]
+    rows += [(None, 3, 5), (None, None, 6), (2, None, 1 << 60), (2, None, 1 << 59)]
     df = spark.createDataFrame(rows, "user_id long, day long, id long")
-    plain = values(number_in_group(df, "user_id", "day", "id"))
-    sliced = number_in_group(df, "user_id", "day", "id", hot=[1], width=2)
-    assert values(sliced) == plain
-
-
-def test_hot_users_give_the_same_orders(spark, ws):
-    view = RetailView(spark, ws.view.folder, hot_rows=8)
-    assert view._hot_users
-    assert values(view.orders) == values(ws.view.orders)
+    ordered = Window.partitionBy("user_id").orderBy("day", "id")
+    plain = df.select(
+        "*",
+        F.row_number().over(ordered).alias("number"),
+        F.lag("day").over(ordered).alias("previous"),
+        F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("total"),
+    )
+    assert values(number_in_group(df, "user_id", "day", "id")) == values(plain)

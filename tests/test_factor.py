@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import values
 from pyspark.sql import functions as F
 
 from basketlab.functions.columns import is_train
@@ -129,7 +130,31 @@ def test_neighbours_and_compatibility_list(spark, matrix, train):
     assert all(r["item"] == 100 + place[near[r.user_id, r["rank"]]] % 8 for r in lists)
 
 
-def test_too_many_items_is_an_error(spark, matrix, monkeypatch):
-    monkeypatch.setattr(factor, "MAX_ITEMS", 5)
-    with pytest.raises(ValueError, match="top N"):
-        factor.fit_svd(interactions(spark, matrix), 2)
+def test_blocks_of_users_give_the_same_model(spark, matrix, monkeypatch):
+    data = interactions(spark, matrix)
+    whole = factor.evaluate(factor.fit_svd(data, 3)).first()
+    monkeypatch.setattr(factor, "USERS_PER_TASK", 7)
+    model = factor.fit_svd(data, 3)
+    parts = factor.evaluate(model).first()
+    assert np.allclose([float(x) for x in whole], [float(x) for x in parts])
+    asked = spark.createDataFrame([(u,) for u in range(30)], "user_id long")
+    few = values(factor.similar_users(model, asked, 4), "user_id", "neighbour", "rank")
+    monkeypatch.setattr(factor, "USERS_PER_TASK", 1000)
+    assert values(factor.similar_users(model, asked, 4), "user_id", "neighbour", "rank") == few
+
+
+def test_best_takes_the_first_of_equal_scores():
+    scores = np.random.default_rng(7).integers(0, 4, (200, 12)).astype(float)
+    for n in (1, 5, 12, 20):
+        best, found = factor._best(scores, n)
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        assert (best == want).all() and (found == np.take_along_axis(scores, want, axis=1)).all()
+
+
+def test_a_group_without_held_out_users_is_listed(spark, matrix, train):
+    ids = np.flatnonzero(train)[:6]
+    rows = [(0, u, 100 + i, float(x)) for u, r in enumerate(matrix) for i, x in enumerate(r) if x]
+    rows += [(1, int(u), 100 + k % 3, 1.0 + k) for k, u in enumerate(ids)]
+    data = spark.createDataFrame(rows, "grp long, user_id long, item long, value double")
+    got = {r.grp: r for r in factor.evaluate(factor.fit_svd(data, 2, group_col="grp")).collect()}
+    assert set(got) == {0, 1} and got[1].mse is None and got[0].mse is not None

@@ -30,3 +30,14 @@ def test_missing_values_and_types(spark):
     info = {r.column_name: (r.dtype, r.non_null) for r in profile.info({"t": df}).collect()}
     assert info == {"x": ("bigint", 2), "y": ("string", 1)}
     assert tuple(profile.shape({"t": df}).first()) == ("t", 3, 2)
+
+
+def test_describe_of_empty_and_text_only_tables(spark):
+    empty = spark.createDataFrame([], "x long, y string")
+    row = profile.describe("t", empty).first()
+    assert (row.table_name, row.column_name, row.n, row.mean, row.p50) == ("t", "x", 0, None, None)
+    words = spark.createDataFrame([("a",)], "y string")
+    assert profile.describe("t", words).collect() == []
+    mixed = spark.createDataFrame([(None, 2)], "x long, z long")
+    found = {r.column_name: (r.n, r.p50) for r in profile.describe("t", mixed).collect()}
+    assert found == {"x": (0, None), "z": (1, 2.0)}

@@ -5,7 +5,8 @@ from conftest import values
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
-from basketlab.functions.text import STOP_WORDS, tokens
+from basketlab.functions.text import tokens
+from basketlab.plans.oracle import STOP_WORDS
 from basketlab.operators import search
 
 DOC = "doc_id long, text string"

@@ -43,8 +43,6 @@ def skewed(spark, tmp_path_factory):
             f"TO '{folder}/{name}.parquet' (FORMAT parquet)"
         )
     ws = Workspace(spark, folder)
-    ws.view.hot_rows = 100
-    assert ws.view._hot_users == [7]
     return ws, connect(folder)
 
 
