@@ -39,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table :func:`cut` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        target = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        target.getFileSystem(conf).delete(target, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tune(spark).read.parquet(f"{str(sf_dir).rstrip('/')}/documents.parquet")
 

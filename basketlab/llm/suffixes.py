@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.common import cut, mix
+from basketlab.llm.common import cut, discard, mix
 
 LENGTH = 50
 GRAM = 24
@@ -357,6 +357,12 @@ def _judge(docs: DataFrame, doc_id: str, text: str, with_text: bool) -> DataFram
             for r, (a, b) in enumerate(zip(bound, np.append(bound[1:], len(every))))
             if a < b
         ]
+        number = group["block"][0].as_py()
+        if number < SAMPLED_BLOCKS and len(every):
+            # A few suffixes of distinct anchors, for the cuts of the suffix ranges.
+            at = np.unique(block.anchor, return_index=True)[1]
+            at = at[np.linspace(0, len(at) - 1, min(SAMPLE, len(at))).astype(int)]
+            out += [(-1, number, k.tobytes()) for k in block.keys(at)[:, :GRAM]]
         return _table(out, [("range", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())])
 
     sent = cut(mine.groupBy("block").applyInArrow(share_hashes, "range int, block int, blob binary"))
@@ -372,73 +378,64 @@ def _judge(docs: DataFrame, doc_id: str, text: str, with_text: bool) -> DataFram
             out.append((block, group["range"][0].as_py(), np.packbits(hit).tobytes()))
         return _table(out, [("block", pa.int32()), ("range", pa.int32()), ("bits", pa.binary())])
 
-    bits = cut(sent.groupBy("range").applyInArrow(answer_hashes, "block int, range int, bits binary"))
-
-    def suffix_runs(cuts: list[bytes] | None):
-        """Sorted suffix runs by range; without ``cuts``, a sample of the suffixes."""
-
-        def work(group: pa.Table, answers: pa.Table) -> pa.Table:
-            kinds = [("range", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]
-            if not group.num_rows:
-                return _table([], kinds)
-            number = group["block"][0].as_py()
-            block = Block(group)
-            block.find_anchors()
-            every, inverse = np.unique(block.anchor, return_inverse=True)
-            bound = np.searchsorted(every, _range_starts(ranges))
-            bound = np.append(bound, len(every))
-            known = np.zeros(len(every), bool)
-            for r, b in zip(answers["range"].to_pylist(), answers["bits"].to_pylist()):
-                n = bound[r + 1] - bound[r]
-                known[bound[r] : bound[r + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=n)
-            # Or in two documents of this block.
-            low = np.full(len(every), len(block.ids))
-            high = np.full(len(every), -1)
-            np.minimum.at(low, inverse, block.owner)
-            np.maximum.at(high, inverse, block.owner)
-            pick = np.flatnonzero((known | (low < high))[inverse])
-            if cuts is None:
-                pick = pick[np.linspace(0, len(pick) - 1, min(SAMPLE, len(pick))).astype(int)]
-                return _table([(0, number, k.tobytes()) for k in block.keys(pick)[:, :GRAM]], kinds)
-            keys = block.keys(pick)
-            order = sort_rows(keys)
-            keys, pick = keys[order], pick[order]
-            prefix = common_prefixes(keys)
-            first = np.flatnonzero(prefix < KEY)
-            if not len(pick):
-                return _table([], kinds)
-            # The smallest document of each suffix stands for it (documents are in order of id).
-            rank = block.rank[block.owner[pick]]
-            sizes = np.diff(np.append(first, len(pick)))
-            late = rank > np.repeat(rank[first], sizes)
-            out = []
-            if late.any():
-                ahead, behind = keys[late, KEY - 2].astype(int), keys[late, KEY - 1].astype(int)
-                j = np.arange(LEFT + 1)
-                fits = (behind[:, None] >= j) & (ahead[:, None] >= LENGTH - j)
-                whole = (fits * (np.int64(1) << j)).sum(axis=1)
-                out.append((-1, number, _answer(block.at[pick[late]], whole)))
-            # Equal suffixes stand in order of place, so the first is the smallest document's.
-            keys, pick, rank = keys[first], pick[first], rank[first]
-            heads = [k.tobytes() for k in keys[:, :GRAM]]
-            edges = [bisect.bisect_left(heads, c) for c in cuts]
-            for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(heads)])):
-                if a < b:
-                    out.append((r, number, code_run(keys[a:b], rank[a:b], block.at[pick[a:b]])))
-            return _table(out, kinds)
-
-        return work
-
-    grouped = mine.groupBy("block").cogroup
-    few = mine.where(F.col("block") < SAMPLED_BLOCKS)
-    sample = few.groupBy("block").cogroup(bits.where(F.col("block") < SAMPLED_BLOCKS).groupBy("block"))
-    heads = sorted(
-        bytes(r.blob)
-        for r in sample.applyInArrow(suffix_runs(None), "range int, block int, blob binary").select("blob").collect()
-    )
+    heads = sorted(bytes(r.blob) for r in sent.where("range < 0").select("blob").collect())
     cuts = sorted({heads[k * len(heads) // ranges] for k in range(1, ranges)}) if heads else []
+    bits = cut(sent.where("range >= 0").groupBy("range").applyInArrow(answer_hashes, "block int, range int, bits binary"))
+
+    discard(sent)
+
+    def suffix_runs(group: pa.Table, answers: pa.Table) -> pa.Table:
+        """Sorted suffix runs by range; range -1 holds the answers a block gives itself."""
+        kinds = [("range", pa.int32()), ("block", pa.int32()), ("blob", pa.binary())]
+        if not group.num_rows:
+            return _table([], kinds)
+        number = group["block"][0].as_py()
+        block = Block(group)
+        block.find_anchors()
+        every, inverse = np.unique(block.anchor, return_inverse=True)
+        bound = np.searchsorted(every, _range_starts(ranges))
+        bound = np.append(bound, len(every))
+        known = np.zeros(len(every), bool)
+        for r, b in zip(answers["range"].to_pylist(), answers["bits"].to_pylist()):
+            n = bound[r + 1] - bound[r]
+            known[bound[r] : bound[r + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=n)
+        # Or in two documents of this block.
+        low = np.full(len(every), len(block.ids))
+        high = np.full(len(every), -1)
+        np.minimum.at(low, inverse, block.owner)
+        np.maximum.at(high, inverse, block.owner)
+        pick = np.flatnonzero((known | (low < high))[inverse])
+        keys = block.keys(pick)
+        order = sort_rows(keys)
+        keys, pick = keys[order], pick[order]
+        prefix = common_prefixes(keys)
+        first = np.flatnonzero(prefix < KEY)
+        if not len(pick):
+            return _table([], kinds)
+        # The smallest document of each suffix stands for it (documents are in order of id).
+        rank = block.rank[block.owner[pick]]
+        sizes = np.diff(np.append(first, len(pick)))
+        late = rank > np.repeat(rank[first], sizes)
+        out = []
+        if late.any():
+            ahead, behind = keys[late, KEY - 2].astype(int), keys[late, KEY - 1].astype(int)
+            j = np.arange(LEFT + 1)
+            fits = (behind[:, None] >= j) & (ahead[:, None] >= LENGTH - j)
+            whole = (fits * (np.int64(1) << j)).sum(axis=1)
+            out.append((-1, number, _answer(block.at[pick[late]], whole)))
+        # Equal suffixes stand in order of place, so the first is the smallest document's.
+        keys, pick, rank = keys[first], pick[first], rank[first]
+        heads = [k.tobytes() for k in keys[:, :GRAM]]
+        edges = [bisect.bisect_left(heads, c) for c in cuts]
+        for r, (a, b) in enumerate(zip([0, *edges], [*edges, len(heads)])):
+            if a < b:
+                out.append((r, number, code_run(keys[a:b], rank[a:b], block.at[pick[a:b]])))
+        return _table(out, kinds)
+
     runs = cut(
-        grouped(bits.groupBy("block")).applyInArrow(suffix_runs(cuts), "range int, block int, blob binary")
+        mine.groupBy("block")
+        .cogroup(bits.groupBy("block"))
+        .applyInArrow(suffix_runs, "range int, block int, blob binary")
     )
 
     def merge_runs(group: pa.Table) -> pa.Table:
@@ -467,6 +464,7 @@ def _judge(docs: DataFrame, doc_id: str, text: str, with_text: bool) -> DataFram
 
     merged = runs.where("range >= 0").groupBy("range").applyInArrow(merge_runs, "block int, blob binary")
     answers = cut(merged.union(runs.where("range < 0").select("block", "blob")))
+    discard(runs)
 
     kinds = [
         ("text_hash", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
