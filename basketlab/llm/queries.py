@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, licenses, near_dedup, packing, personal, phrases, quality, secrets, suffixes
+from basketlab.llm import decontaminate, fixity, licenses, near_dedup, packing, personal, phrases, quality, secrets, suffixes
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -53,6 +53,15 @@ def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica with planted damage: one byte of ids 1 past each multiple of 97, none of ids 2 past."""
+    pages = table(spark, sf_dir, "pages")
+    place = F.pmod(F.col("page_id"), F.lit(97))
+    flipped = F.concat(F.lit("!"), F.substring("html", 2, 1 << 30))
+    replica = pages.where(place != 2).withColumn("html", F.when(place == 1, flipped).otherwise(F.col("html")))
+    return fixity.audit(fixity.manifest(pages), fixity.manifest(replica))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles of words between white space."""
     found = near_dedup.link_classes(documents(spark, sf_dir), size=2, words=space_words)
@@ -73,6 +82,7 @@ QUERIES = {
     "op5_phrase_fingerprints": op5_phrase_fingerprints,
     "op6_quality_scores": op6_quality_scores,
     "op7_license_scan": op7_license_scan,
+    "op8_merkle_audit": op8_merkle_audit,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
 }
@@ -80,6 +90,25 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op8_merkle_audit": r"""
+WITH b AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) ||
+         'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) ||
+         'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' ||
+         CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) ||
+         coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
+  FROM pages),
+m AS (SELECT DISTINCT page_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256 FROM b),
+o AS (SELECT *, CAST(floor(page_id / 4096) AS BIGINT) AS volume,
+             CAST(sum(length) OVER (PARTITION BY floor(page_id / 4096) ORDER BY page_id, record_sha256) - length AS BIGINT) AS "offset"
+      FROM m),
+lost AS (SELECT volume, min(page_id) AS first FROM o WHERE page_id % 97 = 2 GROUP BY volume)
+SELECT o.page_id, o.volume, o."offset", o.length, o.record_sha256,
+       CASE WHEN page_id % 97 = 2 THEN 'missing' WHEN page_id % 97 = 1 THEN 'altered'
+            WHEN page_id > lost.first THEN 'moved' ELSE 'intact' END AS status
+FROM o LEFT JOIN lost USING (volume)
+""",
     "op1_benchmark_hits": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
