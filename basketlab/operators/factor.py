@@ -349,12 +349,14 @@ def _best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(best, order, axis=1), np.take_along_axis(found, order, axis=1)
 
 
-def holdout_rows(model: SvdModel, k: int = 5) -> DataFrame:
-    """One row per held-out user: cell counts, error sums and top-k hits of the reconstruction.
+def holdout_rows(model: SvdModel, k: int = 5, train: bool = False) -> DataFrame:
+    """One row per held-out user (or train user): cell counts, error sums and top-k hits of the
+    reconstruction.
 
     The users x items cells never leave the task that computes them.
     """
-    test = model.interactions.where(~model.train_mask)
+    mask = model.train_mask if train else ~model.train_mask
+    test = model.interactions.where(mask)
 
     def cells_of(items: np.ndarray, v: np.ndarray, users: np.ndarray, x: np.ndarray) -> dict:
         r = (x @ v) @ v.T

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.columns import ids_text, is_train, rounded
@@ -199,6 +199,22 @@ def segment_stats(ws: Workspace) -> DataFrame:
     return segment.stats(ws.segments)
 
 
+@query
+def segment_balance(ws: Workspace) -> DataFrame:
+    """K-means: scatter inside the segments and between their means adds up to the whole."""
+    names = [f"{c}_scaled" for c in segment.FEATURES]
+    users = segment.fit(ws.scaled)
+    means = users.groupBy("cluster").agg(*[F.avg(c).alias(f"m_{c}") for c in names])
+    rows = users.join(F.broadcast(means), "cluster")  # one row per segment
+    inside = sum((F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}")) for c in names)
+    between = sum(F.col(f"m_{c}") * F.col(f"m_{c}") for c in names)
+    return rows.agg(
+        F.countDistinct("cluster").alias("segments"),
+        F.count(F.lit(1)).alias("n_users"),
+        F.round(F.sum(inside) + F.sum(between), 4).alias("scatter"),
+    )
+
+
 @query
 def elbow_wcss(ws: Workspace) -> DataFrame:
     return segment.elbow(ws.scaled)
@@ -418,6 +434,51 @@ def cluster_explained_variance(ws: Workspace) -> DataFrame:
     return factor.explained_variance(ws.product_svd)
 
 
+def _svd_properties(model: factor.SvdModel) -> DataFrame:
+    """Per group: what the components and the train error add up to, and whether V has unit columns."""
+    g = model.group
+    parts = F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("v")).alias("k"), F.col("v").alias("x")))
+    lengths = model.factors.select(g, parts.alias("p")).groupBy(g, "p.k").agg(
+        F.sum(F.col("p.x") * F.col("p.x")).alias("length")
+    )
+    lengths = lengths.groupBy(g).agg(
+        F.count(F.lit(1)).alias("components"),
+        (F.max(F.abs(F.col("length") - 1)) < 1e-6).alias("unit_columns"),
+    )
+    powers = F.aggregate("sigma", F.lit(0.0), lambda a, s: a + s * s)
+    kept = model.factors.where(F.col("idx") == 0).select(g, powers.alias("kept"))
+    lost = factor.holdout_rows(model, train=True).groupBy(g).agg(F.sum("squared").alias("lost"))
+    energy = F.round(F.col("kept") + F.col("lost"), 3).alias("energy")
+    return lengths.join(kept, g).join(lost, g).select(g, "components", "unit_columns", energy)
+
+
+@query
+def svd_rank10_properties(ws: Workspace) -> DataFrame:
+    """Train error and kept components of a truncated model share the energy of the train rows."""
+    return _svd_properties(ws.aisle_svd_rank10).select("components", "unit_columns", "energy")
+
+
+@query
+def cluster_svd_properties(ws: Workspace) -> DataFrame:
+    return _svd_properties(ws.product_svd)
+
+
+@query
+def svd_product_list_properties(ws: Workspace) -> DataFrame:
+    """Per segment: users served, rows listed, and whether scores fall with the rank."""
+    listed = factor.recommend(ws.product_svd, 9)
+    before = F.lag("score").over(Window.partitionBy("cluster", "user_id").orderBy("rank"))
+    return (
+        listed.withColumn("falls", F.coalesce(before >= F.col("score"), F.lit(True)))
+        .groupBy("cluster")
+        .agg(
+            F.countDistinct("user_id").alias("n_users"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.min("falls").alias("scores_fall"),
+        )
+    )
+
+
 @query
 def user_factors(ws: Workspace) -> DataFrame:
     unit = F.aggregate("factor", F.lit(0.0), lambda a, x: a + x * x)

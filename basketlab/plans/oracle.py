@@ -814,6 +814,27 @@ def oracle_sql() -> dict[str, str]:
             "USING (cluster, user_id) GROUP BY ALL",
             "name_ratings",
         ),
+        "svd_rank10_properties": build(
+            "SELECT least(10, count(DISTINCT item)) AS components, true AS unit_columns, round(CAST(sum(value * "
+            f"value) FILTER (WHERE {train('user_id')}) AS DOUBLE), 3) AS energy FROM aisle_counts",
+            "aisle_counts",
+        ),
+        "cluster_svd_properties": build(
+            "SELECT cluster::BIGINT AS cluster, least(50, count(DISTINCT item), count(DISTINCT user_id) FILTER "
+            f"(WHERE {train('user_id')})) AS components, true AS unit_columns, round(CAST(sum(value * value) "
+            f"FILTER (WHERE {train('user_id')}) AS DOUBLE), 3) AS energy FROM product_ratings GROUP BY cluster",
+            "product_ratings",
+        ),
+        "svd_product_list_properties": build(
+            "SELECT cluster::BIGINT AS cluster, count(DISTINCT user_id) AS n_users, count(DISTINCT user_id) * "
+            "least(9, count(DISTINCT item)) AS n_rows, true AS scores_fall FROM product_ratings GROUP BY cluster",
+            "product_ratings",
+        ),
+        "segment_balance": build(
+            "SELECT least(4, count(*)) AS segments, count(*) AS n_users, round(sum(recency_scaled * recency_scaled "
+            "+ frequency_scaled * frequency_scaled + monetary_scaled * monetary_scaled), 4) AS scatter FROM scaled",
+            "scaled",
+        ),
         "svd_energy": build(
             "SELECT count(DISTINCT item) AS components, round(CAST(sum(value * value) FILTER (WHERE "
             f"{train('user_id')}) AS DOUBLE), 3) AS energy, 1.0::DOUBLE AS kept_share FROM aisle_counts",
