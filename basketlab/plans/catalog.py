@@ -630,11 +630,17 @@ def mba_aisle_page(ws: Workspace) -> DataFrame:
 @query
 def combined_recommendations(ws: Workspace) -> DataFrame:
     rules = ws.mba.withColumnRenamed("item", "aisle_id")
-    svd = ws.svd_aisles.select("user_id", F.col("item").alias("aisle_id"), "score")
-    out = recommend.blend(rules, svd)
+    own = factor.recommend(ws.cluster_aisle_svd, 5).drop("cluster")
+    listed = recommend.cluster_first(own, ws.svd_aisles)
+    svd = listed.select("user_id", F.col("item").alias("aisle_id"), "score")
+    out = recommend.blend(rules, svd).join(ws.view.aisles, "aisle_id", "left")
+    name = recommend.name_or("aisle", "Aisle", "aisle_id").alias("aisle_name")
+    # The place of an aisle in the user's list, best mean score first.
+    order = Window.partitionBy("user_id").orderBy(F.desc(F.round("combined_score", 6)), "aisle_id")
+    out = out.withColumn("rank", F.row_number().over(order))
     scores = ("mba_score", "mba_confidence", "mba_lift", "svd_score", "combined_score")
     return out.select(
-        "user_id", "aisle_id", F.array_join("sources", ",").alias("sources"), *rounded(*scores)
+        "user_id", "aisle_id", name, "rank", F.array_join("sources", ",").alias("sources"), *rounded(*scores)
     )
 
 

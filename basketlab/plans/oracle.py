@@ -917,13 +917,15 @@ def oracle_sql() -> dict[str, str]:
             "mba top_text",
         ),
         "combined_recommendations": build(
-            "SELECT user_id, aisle_id, concat_ws(',', CASE WHEN m.score IS NOT NULL THEN 'MBA' END, CASE WHEN "
+            "SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY combined_score DESC, aisle_id) AS "
+            "INTEGER) AS rank FROM (SELECT user_id, aisle_id, coalesce(aisle, 'Aisle ' || aisle_id) AS aisle_name, "
+            "concat_ws(',', CASE WHEN m.score IS NOT NULL THEN 'MBA' END, CASE WHEN "
             "s.score IS NOT NULL THEN 'SVD' END) AS sources, round(m.score, 6) AS mba_score, "
             "round(confidence, 6) AS mba_confidence, round(lift, 6) AS mba_lift, round(s.score, 6) AS "
             "svd_score, round((coalesce(m.score, 0) + coalesce(s.score, 0)) / ((m.score IS NOT NULL)::INT + "
             "(s.score IS NOT NULL)::INT), 6) AS combined_score FROM mba m FULL JOIN (SELECT user_id, item AS "
-            "aisle_id, score FROM svd_list WHERE rank <= 5) s USING (user_id, aisle_id)",
-            "mba svd_list",
+            "aisle_id, score FROM cluster_list) s USING (user_id, aisle_id) LEFT JOIN aisles USING (aisle_id))",
+            "mba cluster_list aisles",
         ),
         "other_aisles": build(
             "SELECT user_id, aisle_id FROM seg CROSS JOIN aisles ANTI JOIN mba USING (user_id, aisle_id)",
