@@ -61,8 +61,10 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](Workspace(spark, folder)).write.format("noop").mode("overwrite").save()
+        space = Workspace(spark, folder)
+        QUERIES[name](space).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        space.close()
     print(
         json.dumps(
             {

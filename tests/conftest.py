@@ -5,7 +5,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
-from basketlab.session import build  # noqa: E402
+from basketlab.session import build, drop_cuts  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_cuts(session)
     session.stop()
 
 
