@@ -22,9 +22,9 @@ from basketlab.operators import (
     search,
     segment,
 )
-from basketlab.plans.workspace import DOCUMENT_SEARCHES, PRODUCT_SEARCHES, Workspace
-from basketlab.session import cut
-from basketlab.sources import integrity, tables
+from basketlab.plans.workspace import AISLE_RULES, DOCUMENT_SEARCHES, PRODUCT_SEARCHES, Workspace
+from basketlab.session import cut, new_folder
+from basketlab.sources import integrity, store, tables
 
 QUERIES: dict[str, Callable[[Workspace], DataFrame]] = {}
 
@@ -328,6 +328,15 @@ def assoc_rules_aisle(ws: Workspace) -> DataFrame:
     return _rules(ws.aisle_rules.rules)
 
 
+@query
+def stored_rule_model(ws: Workspace) -> DataFrame:
+    """Rules as a later job reads them: saved, loaded, selected."""
+    folder = new_folder(ws.spark, "rules")
+    store.save({"rules": ws.aisle_rules.rules, "test": ws.aisle_rules.test}, folder, AISLE_RULES)
+    parts, params = store.load(ws.spark, folder)
+    return _rules(parts["rules"].where(F.col("lift") >= params["min_lift"]))
+
+
 @query
 def cluster_assoc_rules(ws: Workspace) -> DataFrame:
     return _rules(ws.cluster_rules.rules, "cluster")
@@ -523,6 +532,16 @@ def svd_recommend_aisles(ws: Workspace) -> DataFrame:
     return _scores(ws.svd_aisles, "aisle_id")
 
 
+@query
+def stored_svd_model(ws: Workspace) -> DataFrame:
+    """Lists from a factor model that was saved and loaded."""
+    folder, model = new_folder(ws.spark, "svd"), ws.aisle_svd
+    params = {"group_col": model.group_col, "test_size": model.test_size, "seed": model.seed}
+    store.save({"factors": model.factors, "interactions": model.interactions}, folder, params)
+    parts, kept = store.load(ws.spark, folder)
+    return _scores(factor.recommend(factor.SvdModel(**parts, **kept), 5), "aisle_id")
+
+
 @query
 def svd_recommend_aisles_rank10(ws: Workspace) -> DataFrame:
     return _scores(factor.recommend(ws.aisle_svd_rank10, 5), "aisle_id")
@@ -723,6 +742,14 @@ def search_products(ws: Workspace) -> DataFrame:
     )
 
 
+@query
+def search_totals(ws: Workspace) -> DataFrame:
+    """Results and shelves per search, as the head of the result page shows them."""
+    return _product_search(ws).groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("total_results"), F.countDistinct("aisle").alias("n_aisles")
+    )
+
+
 @query
 def search_by_aisle(ws: Workspace) -> DataFrame:
     rows = search.by_aisle(_product_search(ws))

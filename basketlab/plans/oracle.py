@@ -783,6 +783,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_freq_itemsets": itemsets_sql("name", "cluster, "),
         "assoc_rules_department": rules_sql("dept"),
         "assoc_rules_aisle": rules_sql("shelf"),
+        "stored_rule_model": rules_sql("shelf"),
         "cluster_assoc_rules": rules_sql("name", "cluster, "),
         "rule_counts": build(
             f'SELECT {_SIDES}, matched, "both", hit, n_orders FROM dept_counts', "dept_counts"
@@ -863,6 +864,9 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY 1, 2) QUALIFY rank <= 10",
             "norms top_users",
         ),
+        "stored_svd_model": build(
+            "SELECT user_id, item AS aisle_id, score, rank FROM svd_list WHERE rank <= 5", "svd_list"
+        ),
         "svd_recommend_aisles": build(
             "SELECT user_id, item AS aisle_id, score, rank FROM svd_list WHERE rank <= 5", "svd_list"
         ),
@@ -958,6 +962,10 @@ def oracle_sql() -> dict[str, str]:
             f"{r6('nlp_score', 'svd_score', 'combined_score')} FROM found",
             "found",
         ),
+        "search_totals": build(
+            "SELECT query_id, count(*) AS total_results, count(DISTINCT aisle) AS n_aisles FROM found GROUP BY 1",
+            "found",
+        ),
         "search_by_aisle": build(
             "SELECT query_id, aisle, count(*) AS n_products, string_agg(product_name, ',' ORDER BY rank) AS "
             "product_names, arg_min(department, rank) AS department FROM found GROUP BY 1, 2",

@@ -64,19 +64,25 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/cuts").rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder, deleted by :func:`drop_cuts`."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from the files.
 
     Lost executors cost nothing that was computed before the cut, later scans prune columns,
     and the known file size lets Spark choose between broadcast and shuffle joins.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Folders written by cut, by application, so that they can be deleted together.
+# Folders of new_folder, by application, so that they can be deleted together.
 _written: dict[str, list[str]] = {}
 
 
