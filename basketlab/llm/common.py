@@ -134,6 +134,13 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
+def keeping(docs: DataFrame, names: tuple[str, ...], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn(docs)`` with the columns of ``docs`` alone; own columns called like ``names`` survive it."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in names}
+    done = fn(docs.withColumnsRenamed(own))
+    return done.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def byte_list(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string or binary column as bytes; null becomes empty."""
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]

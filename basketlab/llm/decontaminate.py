@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlab.llm.common import WordHashes, add_columns, alnum_words, byte_list, cut, window_hashes
+from basketlab.llm.common import WordHashes, add_columns, alnum_words, byte_list, cut, keeping, window_hashes
 
 SIZE = 10
 # Rows (window, item) of one broadcast: some 20 MB of benchmark text.
@@ -157,14 +157,17 @@ def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
+ADDED = ("n_words", "hit_spans", "hit_items")
+
+
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window, columns as they were."""
-    return scan(docs, benchmark, **options).where(F.size("hit_spans") == 0).select(docs.columns)
+    clean = lambda d: scan(d, benchmark, **options).where(F.size("hit_spans") == 0)
+    return keeping(docs, ADDED, clean)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents, the hit words and what stands between them cut out of the text."""
-    scanned = scan(docs, benchmark, text=text, **options)
 
     def start():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -185,5 +188,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
 
         return work
 
-    done = add_columns(scanned, start, [("__cut", T.StringType())])
-    return done.select(*[F.col("__cut").alias(c) if c == text else F.col(c) for c in docs.columns])
+    def cleaned(own: DataFrame) -> DataFrame:
+        done = add_columns(scan(own, benchmark, text=text, **options), start, [("__cut", T.StringType())])
+        return done.withColumn(text, F.col("__cut"))
+
+    return keeping(docs, ADDED, cleaned)

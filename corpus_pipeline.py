@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.llm import decontaminate, near_dedup, packing, quality, secrets
-from basketlab.llm.common import cut, documents, table
+from basketlab.llm.common import cut, documents, keeping, table
 from basketlab.llm.queries import tokenizer_file
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
-    columns = docs.columns
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(columns)
+    return keeping(docs, ("score", "predicted"), lambda d: quality.score(d, model).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

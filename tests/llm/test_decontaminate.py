@@ -62,6 +62,9 @@ def test_removal(spark, docs_of):
     cleaned = decontaminate.remove_spans(docs, items)
     assert cleaned.columns == docs.columns
     assert {r.doc_id: r.text for r in cleaned.collect()} == {1: "x  y", 2: "alpha beta", 3: None}
+    own = docs.selectExpr("*", "7 AS n_words", "'mine' AS hit_items")
+    kept = decontaminate.drop_documents(own, items)
+    assert kept.columns == own.columns and {(r.n_words, r.hit_items) for r in kept.collect()} == {(7, "mine")}
     kept = decontaminate.drop_documents(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
 
