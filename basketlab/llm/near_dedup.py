@@ -286,13 +286,16 @@ def link_classes(
     """(doc_id, n_shingles, component_id): one row per input row."""
     rows = cut(_classes(docs, doc_id, text, size, words))
     # Written once: both sides of the join below read the exploded bands (a band's hash tells its number).
-    classes = cut(rows.where("n > 0").groupBy("id").agg(F.first("bands").alias("bands")))
+    # Copies collapse here, before anything is joined by class.
+    classes = cut(
+        rows.where("n > 0").groupBy("id").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("first_id"))
+    )
     table = classes.select("id", F.explode("bands").alias("bucket"))
     heads = table.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"))
     buckets = cut(table.join(heads.where("n > 1"), "bucket").select("bucket", "id", "hub"))
     pairs = cut(buckets.where("id <> hub").select("id", "hub").distinct())
     ids = pairs.select("id").union(pairs.select("hub")).distinct()
-    ids = cut(rows.join(ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    ids = cut(classes.join(ids, "id").select(F.col("first_id").alias("doc_id")).distinct())
     sets = cut(_sets(docs, ids, doc_id, text, size, words).dropDuplicates(["id"]))
     compared = cut(_compare(pairs, sets))
     links = compared.where(F.col("common") * 100 >= F.col("total") * percent)
@@ -318,8 +321,7 @@ def link_classes(
     )
     whole = components(links.union(cut(_tiles(members, sets, percent))))
 
-    smallest = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first_id"))
-    named = smallest.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = classes.select("id", "first_id").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(heads, "component").select("id", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")).join(named, "id", "left")
