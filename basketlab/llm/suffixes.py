@@ -8,7 +8,7 @@ id. Strings are judged on the input, never across documents. The work is a merge
    so two equal strings have an anchor at the same place. Documents form blocks; each block sends
    the sorted hashes of its anchors, front-coded as differences, to ranges of hashes, which answer
    with a bit per hash: does it occur in another block? Only anchors whose string occurs in two
-   documents go on. This only saves work; nothing rests on a hash alone from here on.
+   documents go on. This only saves work: which strings are equal is read off their bytes.
 3. Suffixes. An anchor's suffix is the text from the anchor on, up to ``LENGTH`` bytes, then the
    bytes before it, read backwards. Each block sorts its distinct suffixes, keeps the smallest id of
    each (later documents of the block are answered on the spot), front-codes the sorted runs (length
@@ -18,7 +18,8 @@ id. Strings are judged on the input, never across documents. The work is a merge
    length are compared from there on, so a known prefix is never read again. The merged
    suffixes come with their common prefixes, which say at once which strings around an anchor are
    equal and thus which have an earlier owner.
-5. Each block marks its bytes from the answers.
+5. Each block marks its bytes from the answers. A string that repeats inside a document was answered
+   once; its other places in that document are known by a 64-bit hash.
 
 Ranges are cut by quantiles of a bounded sample of suffixes, so that a string's suffixes stay in one
 range. Blocks hold about ``BLOCK`` bytes; a longer document is a block of its own.
