@@ -42,7 +42,7 @@ def test_against_ml_evaluator(spark, ws):
     truth = ws.user_lines.where("order_id % 3 = 0").select("user_id", F.col("aisle_id").alias("item"))
     ours = ranking.metrics(truth, counts, 5).first()
     lists = (
-        ranking.top_per_group(counts, ["user_id"], [F.desc("score"), F.asc("item")], 5, "item")
+        ranking.top_per_group(counts, ["user_id"], [F.desc("score"), F.asc("item")], 5)
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("item").cast("double").alias("item"))))["item"].alias("prediction"))
     )
