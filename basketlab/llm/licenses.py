@@ -1,7 +1,8 @@
 """License scans on DataFrame functions only: exact set-similarity join of text blocks with templates.
 
-A block is a line. A template is found in it when the block holds at least ``THRESHOLD`` of the
-template's distinct words. The join is exact and compares few pairs:
+A block is a line, or a run of words of the whole text, whatever its line breaks, so a notice may be
+wrapped anywhere; a run has as many words as the template. A template is found in a block that holds
+at least ``THRESHOLD`` of the template's distinct words. The join is exact and compares few pairs:
 
 * global order: words of the templates are counted over all documents, rare ones come first;
 * prefix filter: of a template of n words of which m must be found, one of its first n - m + 1 must
@@ -11,6 +12,9 @@ template's distinct words. The join is exact and compares few pairs:
   order, is out, likewise on the template's side;
 * what is left is verified on full word sets.
 
+Runs are looked up in windows of the text that overlap so far that every run stands whole in one of
+them; a window passes the filters as a line does, and its runs are verified one by one.
+
 Templates are a bounded query set: at most ``BLOCK`` words of them are joined at a time, in as many
 rounds as there are. Base places are phrases whose words stand one after the other in the document,
 whatever signs stand between.
@@ -99,6 +103,28 @@ def _word_counts(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return every.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
+def _lines(text: str, hint: str) -> Column:
+    """(words, wraps) of each line that may hold an anchor."""
+    kept = F.filter(F.split(text, "\n"), lambda line: line.rlike(hint))
+    return F.transform(kept, lambda line: F.struct(_lower_words(line).alias("words"), F.lit(False).alias("wraps")))
+
+
+def _windows(w: str, step: int, anchors: Column) -> Column:
+    """(words, wraps) of windows that hold an anchor; each run of up to ``step`` words is whole in one of them."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(step))
+    kept = F.filter(
+        F.transform(starts, lambda at: F.slice(w, at, 2 * step - 1)), lambda x: F.arrays_overlap(x, anchors)
+    )
+    return F.transform(kept, lambda x: F.struct(x.alias("words"), F.lit(True).alias("wraps")))
+
+
+def _best_run(window: str, words: str, run: str) -> Column:
+    """Most of the distinct ``words`` that stand in one run of so many words of the window."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(window) - F.col(run) + 1, F.lit(1)))
+    held = F.transform(starts, lambda at: F.size(F.array_intersect(words, F.slice(window, at, F.col(run)))))
+    return F.array_max(held)
+
+
 def template_matches(
     rows: DataFrame, notices: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
 ) -> DataFrame:
@@ -108,9 +134,10 @@ def template_matches(
     """
     spark = rows.sparkSession
     sets = notices.where("text is not null and label is not null").select(
-        "label", F.array_distinct(_lower_words(F.col("text"))).alias("words")
+        "label", _lower_words(F.col("text")).alias("words")
     )
-    sets = sets.where(F.size("words") > 0).distinct()
+    sets = sets.select("label", F.array_distinct("words").alias("words"), F.size("words").alias("length"))
+    sets = sets.where("length > 0").groupBy("label", "words").agg(F.max("length").alias("length"))
     parts = max(1, math.ceil((sets.agg(F.sum(F.size("words"))).first()[0] or 0) / block))
     out = None
     for part in range(parts):
@@ -128,28 +155,35 @@ def template_matches(
             need = math.ceil(threshold * len(ranked) - 1e-9)
             for at, w in enumerate(ranked[: len(ranked) - need + 1]):
                 # On the template's side the position always leaves enough words: the prefix ends there.
-                prefixes.append((w, k, r.label, len(ranked), need, at))
+                prefixes.append((w, k, r.label, len(ranked), need, at, r.length))
         looked_up = sorted({p[0] for p in prefixes})
         hint = f"(?i){NOT_AFTER_WORD}(?:{'|'.join(looked_up)}){NOT_BEFORE_WORD}"
         prefix = local_table(
-            spark, prefixes, "word string,template long,label string,n long,need long,at long"
+            spark, prefixes, "word string,template long,label string,n long,need long,at long,run int"
         )
         full = F.array(*[F.array(*[F.lit(w) for w in sorted(r.words)]) for r in taken])
-        blocks = rows.where(F.col("text").rlike(hint)).select(
-            "doc_id", "text_hash", F.explode(F.split("text", "\n")).alias("line")
+        ranks, anchors = F.array(*[F.lit(w) for w in order]), F.array(*[F.lit(w) for w in looked_up])
+        texts = rows.where(F.col("text").rlike(hint))
+        step = max(p[-1] for p in prefixes)
+        blocks = texts.select("doc_id", "text_hash", "text", _lower_words(F.col("text")).alias("w")).select(
+            "doc_id", "text_hash", F.inline(F.concat(_lines("text", hint), _windows("w", step, anchors)))
         )
-        blocks = blocks.where(F.col("line").rlike(hint)).select(
-            "doc_id",
-            "text_hash",
-            F.array_intersect(F.array(*[F.lit(w) for w in order]), _lower_words(F.col("line"))).alias("held"),
+        blocks = blocks.select(
+            "doc_id", "text_hash", F.array_intersect(ranks, F.col("words")).alias("held"), F.when(F.col("wraps"), F.col("words")).alias("window")
         )
         pairs = blocks.select("*", F.posexplode("held").alias("position", "word"))
         pairs = pairs.join(F.broadcast(prefix), "word")
         pairs = pairs.where(F.size("held") >= F.col("need"))
         pairs = pairs.where(F.size("held") - F.col("position") >= F.col("need") - F.col("at"))
-        common = F.size(F.array_intersect("held", F.element_at(full, F.col("template").cast("int") + 1)))
-        found = pairs.where(common >= F.col("need")).select(
-            "doc_id", "text_hash", "label", (common / F.col("n")).alias("share")
+        pairs = pairs.withColumn(
+            "common", F.array_intersect("held", F.element_at(full, F.col("template").cast("int") + 1))
+        )
+        pairs = pairs.where(F.size("common") >= F.col("need"))
+        pairs = pairs.withColumn(
+            "common", F.when(F.col("window").isNull(), F.size("common")).otherwise(_best_run("window", "common", "run"))
+        )
+        found = pairs.where(F.col("common") >= F.col("need")).select(
+            "doc_id", "text_hash", "label", (F.col("common") / F.col("n")).alias("share")
         )
         out = found if out is None else out.union(found)
     if out is None:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 
 from basketlab.llm import licenses
 
@@ -69,3 +70,43 @@ def test_empty_tables_and_blocks(docs_of, spark):
     many = licenses.template_matches(rows, licenses.templates(spark), block=20).collect()
     assert {r.label for r in one} == {r.label for r in many} == {"mit"}
     assert licenses.template_matches(rows, licenses.templates(spark).where("false")).count() == 0
+
+
+def test_wrapped_notices(docs_of):
+    texts = {}
+    for _, notice in licenses.TEMPLATES:
+        for width in (10, 30, 72):
+            lines = textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False)
+            texts["intro of words\n\n" + "\n".join(lines) + "\nmore of them"] = notice
+            texts["x " * 41 + "\n * " + "\r\n * ".join(lines) + "\n */ tail"] = notice
+    labels = {notice: label for label, notice in licenses.TEMPLATES}
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r for r in licenses.scan(docs_of(rows)).collect()}
+    for d, text in rows:
+        assert labels[texts[text]] in found[d].labels.split(","), text
+        assert found[d].score == 1.0, text
+
+
+def test_runs_against_brute_force(docs_of):
+    rng = random.Random(4)
+    notices = [(label, n) for label, n in licenses.TEMPLATES if label in ("mit", "bsd", "gpl", "reserved")]
+    texts = []
+    for _, notice in notices * 4:
+        w = [x for x in notice.split() if rng.random() < 0.9]
+        for _ in range(rng.randint(0, 6)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["some", "other", "the", "license", "granted"]))
+        texts.append("one\n" * rng.randint(0, 90) + "\n".join(w) + "\ntwo" * rng.randint(0, 40))
+
+    def brute_runs(text):
+        w, out = words(text), set()
+        for label, notice in licenses.TEMPLATES:
+            t = words(notice)
+            run, need = len(t), math.ceil(0.8 * len(set(t)) - 1e-9)
+            if any(len(set(t) & set(w[i : i + run])) >= need for i in range(max(1, len(w) - run + 1))):
+                out.add(label)
+        return out | {x for x in brute(text)[5].split(",") if x}
+
+    rows = list(enumerate(texts))
+    found = {r.doc_id: {x for x in r.labels.split(",") if x} for r in licenses.scan(docs_of(rows)).collect()}
+    assert found == {d: brute_runs(t) for d, t in rows}
+    assert any(found.values()) and not all(found.values())
