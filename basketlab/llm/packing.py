@@ -23,9 +23,10 @@ packed one by one. An empty table gives an empty result. Extra columns are ignor
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|
 
 
 def encoding(path: str):
-    """The byte-level BPE of a tokenizer file as a fast encoder: same ids, special tokens as text."""
+    """The byte-level BPE of a tokenizer file as a fast encoder of the text between added tokens."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
@@ -62,10 +63,50 @@ def encoding(path: str):
     return tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+# Fixed value: white space as the pattern knows it. Runs are cut that the pattern would backtrack through.
+_LONG = 512
+_SPACES = re.compile(r"[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut before the last sign of each long run of white space inside it, where the pattern cuts too."""
+    # A run of twice the length fills one of these cells; shorter ones are harmless.
+    if not any(text[k : k + _LONG].isspace() for k in range(0, len(text), _LONG)):
+        return [text]
+    cuts = [m.end() - 1 for m in _SPACES.finditer(text) if m.end() < len(text)]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+
+def _encode(encoder, text: str) -> list[np.ndarray]:
+    return [encoder.encode_to_numpy(part, disallowed_special=()) for part in _parts(text)]
+
+
 def tokens(encoder, text: bytes) -> np.ndarray:
-    """Ids of a text and the end id 0."""
-    ids = encoder.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=())
-    return np.append(ids, 0).astype("<u4")
+    """Ids of a text and the end id 0, added tokens read as text."""
+    return np.concatenate([*_encode(encoder, text.decode("utf-8", "replace")), [0]]).astype("<u4")
+
+
+def tokenizer(path: str) -> Callable[[bytes], np.ndarray]:
+    """Ids of a text as ``tokenizers`` gives them at its defaults, and the end id 0.
+
+    Texts are cut at the file's added tokens first; each is one id.
+    """
+    encoder = encoding(path)
+    with open(path, encoding="utf-8") as file:
+        rows = json.load(file).get("added_tokens") or []
+    if any(r.get(k) for r in rows for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens must stand for themselves alone")
+    added = {r["content"]: r["id"] for r in rows}
+    names = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
+    cuts = re.compile(f"({names})" if names else "((?!))")
+
+    def ids(text: bytes) -> np.ndarray:
+        out: list = []
+        for k, part in enumerate(cuts.split(text.decode("utf-8", "replace"))):
+            out += [[added[part]]] if k % 2 else _encode(encoder, part)
+        return np.concatenate([*out, [0]]).astype("<u4")
+
+    return ids
 
 
 def pieces(
@@ -75,12 +116,12 @@ def pieces(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = encoding(path), TaskContext.get().partitionId()
+        encode, task = tokenizer(path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             out: list[tuple] = []
             for name, value in zip(batch["doc_id"].to_pylist(), byte_list(batch["text"])):
-                ids = tokens(encoder, value)
+                ids = encode(value)
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):

@@ -60,6 +60,28 @@ def test_ids_equal_the_tokenizer():
         assert packing.tokens(encoder, text.encode()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_ids_equal_the_tokenizer_at_its_defaults(docs_of):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file())
+    ids = packing.tokenizer(tokenizer_file())
+    end, gap = "<|endoftext|>", " " * 2000
+    texts = ["", "a <|endoftext|> b", end, f"{end}{end} x  {end}", f"a{gap}{end}{gap}b{gap}", "<|endoftext|", "12½ " + end.upper()]
+    texts += ["a" + " " * 1_000_000 + "b", " " * 1_000_000, "\n \u2003" * 1000 + "é", "\x1c" * 2000 + "x", gap + "\n.", "x" + gap + "\t'll"]
+    for text in texts:
+        assert ids(text.encode()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], text[:40]
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from([end, gap, " ", "\n", "a", "'s", "\u3000", "7", "!"]), max_size=12))
+    def same(parts):
+        text = "".join(parts)
+        assert ids(text.encode()).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+    same()
+    got = packing.pack(docs_of([(1, texts[1])]), tokenizer_file()).first()
+    assert got.length == 5 and got.ids_crc32 == zlib.crc32(ids(texts[1].encode()).tobytes())
+
+
 def test_round_trip(docs_of):
     rows = [(k, "word " * (k * 37 % 400)) for k in range(60)] + [(100, None), (101, ""), (102, "long text " * 4000), (5, "twice"), (5, "twice")]
     got = packing.pack(docs_of(rows), tokenizer_file()).collect()
