@@ -331,13 +331,20 @@ def link_classes(
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Columns as they were.
+    """One row of each group stays: the one with the smallest id. Columns as they were.
 
-    Documents without words and rows without an id are kept; of rows that repeat the id of a kept
-    document, all stay.
+    Rows are told apart by a written number, so repeated rows and rows without an id are copies like
+    any others; of rows with the smallest id one stays, and an id that is null comes last. Documents
+    without words are kept.
     """
-    marks = link_classes(docs, doc_id, **options)
-    gone = marks.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    kept_ids = marks.where("doc_id = component_id").select(F.col("doc_id").alias("__gone"))
-    gone = cut(gone.distinct().join(kept_ids.distinct(), "__gone", "left_anti"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    marks = link_classes(rows, "__row", **options)
+    marks = cut(marks.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")))
+    # Groups of one row have nothing to lose.
+    groups = marks.groupBy("__group").agg(F.count("*").alias("__n")).where("__n > 1").select("__group")
+    marks = marks.join(groups, "__group", "left_semi")
+    ids = rows.select("__row", F.col(doc_id).cast("long").alias("__id"))
+    marks = cut(marks.join(ids, "__row").select("__row", "__group", F.struct(F.col("__id").isNull(), "__id", "__row").alias("__key")))
+    kept = marks.groupBy("__group").agg(F.min("__key")["__row"].alias("__row")).select("__row")
+    gone = cut(marks.select("__row").join(kept, "__row", "left_anti"))
+    return rows.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -76,6 +76,18 @@ def test_keep_first(docs_of):
     assert near_dedup.keep_first(docs_of([])).count() == 0
 
 
+def test_keep_first_leaves_one_row_of_each_group(docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b + " end"), (0, b), (None, a), (None, c), (None, c), (None, c + " end"), (7, ""), (7, ""), (9, c + " x"), (None, None)]
+    docs = docs_of(rows)
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(1, a), (0, b), (9, c + " x"), (7, ""), (7, ""), (None, None)], key=str)
+    alone = near_dedup.keep_first(docs_of([(None, c), (None, c)])).collect()
+    assert [(r.doc_id, r.text) for r in alone] == [(None, c)]
+
+
 def slow_super_minhash(items, registers):
     """One element and level after the other, without early stop."""
     from basketlab.llm.common import STEP, mix
