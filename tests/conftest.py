@@ -5,9 +5,9 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
-from basketlab.session import build, drop_cuts  # noqa: E402
+from helpers import SMALL  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
+from basketlab.session import build, drop_cuts  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -33,9 +33,3 @@ def ws(spark):
     from basketlab.plans.workspace import workspace
 
     return workspace(spark, SMALL)
-
-
-def values(df, *columns):
-    """Rows as a sorted list of tuples."""
-    rows = df.select(*columns).collect() if columns else df.collect()
-    return sorted((tuple(r) for r in rows), key=str)

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, differences
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as entry
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import values
+from helpers import values
 
 from basketlab.operators import recommend
 

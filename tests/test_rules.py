@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
-from conftest import values
+from helpers import values
 
 from basketlab.operators import baskets, rules_eval
 

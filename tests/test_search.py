@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-from conftest import values
+from helpers import values
 
 from basketlab.operators import segment
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 from compare import SOURCES, connect, differences
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as entry
 from basketlab.plans.catalog import QUERIES
