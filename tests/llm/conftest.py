@@ -1,10 +1,5 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path[:0] = [str(Path(__file__).parents[2]), str(Path(__file__).parents[1])]
-
 
 @pytest.fixture(scope="session")
 def docs_of(spark):
