@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm import decontaminate, fixity, licenses, near_dedup, packing, personal, phrases, quality, secrets, suffixes
+from basketlab.llm import decontaminate, fixity, hard_negatives, licenses, main_text, near_dedup, packing, periodic, personal, phrases, quality, secrets, suffixes
 from basketlab.llm.common import documents, space_words, table
 
 
@@ -74,6 +76,34 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.scan(docs, field))
 
 
+def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In one document of ten the words from a place on repeat the first few of them; a null id plants none."""
+    g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if tenth or not n or doc_id is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    copies = -(-(n - a) // p)
+    return words[:a] + (words[a : a + p] * copies)[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return periodic.digest(periodic.scan(docs, rewrite=with_planted_run))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = main_text.extract(pages)
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("n_main").alias("n_chars"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
 QUERIES = {
     "op1_benchmark_hits": op1_benchmark_hits,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,11 +115,31 @@ QUERIES = {
     "op8_merkle_audit": op8_merkle_audit,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_personal_data": op10_personal_data,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_main_text": op12_main_text,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 SQL = {
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+""",
     "op8_merkle_audit": r"""
 WITH b AS (
   SELECT page_id, encode(coalesce(html, '')) AS body,
