@@ -1,9 +1,10 @@
 """Truncated SVD recommenders, overall or per segment.
 
-Interactions are long rows (user_id, item, value [, group]). Items are a bounded set: the
-aisles, or the top N products of a segment. The item x item Gram matrix is summed over
-blocks of users and decomposed once per group. Users are dealt to blocks of their group; the
-group's factors meet each block in a co-grouped task, so no factor passes through the driver.
+Interactions are long rows (user_id, item, value [, group]). Groups of at most DENSE_ITEMS items
+sum their item x item Gram matrix over blocks of users and decompose it in one task of known size;
+larger ones find their leading vectors by block Lanczos over blocks of users and of items
+(:mod:`krylov`), without any such matrix. Users are dealt to blocks of their group; the group's
+factors meet each block in a co-grouped task, so no factor passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from basketlab.functions.columns import is_train
 from basketlab.functions.position import global_position
 from basketlab.functions.topk import top_per_group
-from basketlab.operators import ranking
+from basketlab.operators import krylov, ranking
 from basketlab.operators.rules_eval import classification
 from basketlab.session import cut
 
@@ -27,6 +28,9 @@ _ALL = "_all"
 # Users of a group that one task holds (sparse rows), and of these at once as a dense block.
 USERS_PER_TASK = 16_384
 USERS_PER_BLOCK = 1024
+# Items of a group whose Gram matrix one task decomposes (128 MB). Below it that is several times
+# as fast as block Lanczos, which needs many rounds where the singular values lie close together.
+DENSE_ITEMS = 4096
 THRESHOLD = 0.5
 # Scores are compared after rounding, so float noise cannot reorder equal items.
 TIE_DIGITS = 9
@@ -193,6 +197,54 @@ def _decompose(n_components: int, g: str):
     return run
 
 
+def _dense_factors(train: DataFrame, index: DataFrame, sizes: DataFrame, k: int, g: str) -> DataFrame:
+    index = index.join(sizes.select(g), g, "left_semi")
+    gram = item_gram(user_vectors(train, index, g), sizes, g)
+    item_type = dict(index.dtypes)["item"]
+    return index.groupBy(g).cogroup(gram.groupBy(g)).applyInPandas(
+        _decompose(k, g),
+        f"{g} long, item {item_type}, idx int, v array<double>, sigma array<double>, energy double",
+    )
+
+
+def _krylov_factors(train: DataFrame, index: DataFrame, sizes: DataFrame, k: int, g: str) -> DataFrame:
+    index = index.join(sizes.select(g), g, "left_semi")
+    vectors = cut(_in_blocks(user_vectors(train, index, g), g))
+    energy = vectors.groupBy(g).agg(
+        F.sum(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x)).alias("energy")
+    )
+    found = krylov.leading(vectors, sizes.join(energy.select(g), g, "left_semi"), k, g)
+    # As in the dense case: values over the noise of the arithmetic, the largest entry positive.
+    eps = F.lit(float(np.finfo(float).eps))
+    rank = F.size(F.filter("values", lambda x: x > F.greatest(F.element_at("values", 1), F.lit(0.0)) * F.col("n") * eps))
+    kept = (
+        found.join(sizes, g)
+        .withColumn("rank", F.least(rank, F.lit(k)))
+        .select(g, "idx", F.slice("v", F.lit(1), F.col("rank")).alias("v"), F.slice("values", F.lit(1), F.col("rank")).alias("power"))
+    )
+    kept = cut(kept)
+    sides = (
+        kept.select(g, F.posexplode("v").alias("pos", "x"))
+        .groupBy(g, "pos")
+        .agg(F.signum(F.max_by("x", F.abs("x"))).alias("side"))
+        .groupBy(g)
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "side"))), lambda c: c["side"]).alias("sides"))
+    )
+    empty = F.array().cast("array<double>")
+    return (
+        index.join(kept.join(sides, g), [g, "idx"], "left")
+        .join(energy, g, "left")
+        .select(
+            g,
+            "item",
+            F.col("idx").cast("int").alias("idx"),
+            F.coalesce(F.zip_with("v", "sides", lambda x, s: x * s), empty).alias("v"),
+            F.coalesce(F.transform("power", lambda x: F.sqrt(x)), empty).alias("sigma"),
+            F.coalesce("energy", F.lit(0.0)).alias("energy"),
+        )
+    )
+
+
 def fit_svd(
     interactions: DataFrame,
     n_components: int = 50,
@@ -206,15 +258,16 @@ def fit_svd(
     """
     g = group_col or _ALL
     rows = cut(_with_group(interactions, group_col))
-    index = item_index(rows, g)
-    sizes = index.groupBy(g).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    index = cut(item_index(rows, g))
+    sizes = cut(index.groupBy(g).agg(F.count(F.lit(1)).cast("int").alias("n")))
     train = rows.where(is_train("user_id", test_size, seed)) if test_size > 0 else rows
-    gram = item_gram(user_vectors(train, index, g), sizes, g)
-    item_type = dict(rows.dtypes)["item"]
-    factors = index.groupBy(g).cogroup(gram.groupBy(g)).applyInPandas(
-        _decompose(n_components, g),
-        f"{g} long, item {item_type}, idx int, v array<double>, sigma array<double>, energy double",
-    )
+    large = sizes.where(F.col("n") > DENSE_ITEMS)
+    parts = []
+    if large.limit(1).count() < sizes.count():
+        parts.append(_dense_factors(train, index, sizes.where(F.col("n") <= DENSE_ITEMS), n_components, g))
+    if large.limit(1).count():
+        parts.append(_krylov_factors(train, index, large, n_components, g))
+    factors = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return SvdModel(cut(factors), rows, group_col, test_size, seed)
 
 

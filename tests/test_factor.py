@@ -5,7 +5,7 @@ from helpers import values
 from pyspark.sql import functions as F
 
 from basketlab.functions.columns import is_train
-from basketlab.operators import factor, ranking
+from basketlab.operators import factor, krylov, ranking
 
 TYPES = "user_id long, item long, value double"
 
@@ -158,3 +158,36 @@ def test_a_group_without_held_out_users_is_listed(spark, matrix, train):
     data = spark.createDataFrame(rows, "grp long, user_id long, item long, value double")
     got = {r.grp: r for r in factor.evaluate(factor.fit_svd(data, 2, group_col="grp")).collect()}
     assert set(got) == {0, 1} and got[1].mse is None and got[0].mse is not None
+
+
+@pytest.mark.parametrize("items, users, k", [(60, 300, 6), (120, 40, 50), (70, 300, 69)])
+def test_block_lanczos_equals_numpy(spark, monkeypatch, items, users, k):
+    monkeypatch.setattr(factor, "DENSE_ITEMS", 0)
+    monkeypatch.setattr(factor, "USERS_PER_TASK", 64)
+    monkeypatch.setattr(krylov, "ITEM_BLOCK", 25)
+    monkeypatch.setattr(krylov, "MAX_BLOCKS", 3)
+    rng = np.random.default_rng(items)
+    x = rng.integers(1, 4, (users, items)) * (rng.random((users, items)) < 0.1)
+    model = factor.fit_svd(interactions(spark, x), k, test_size=0.0)
+    used = np.flatnonzero(x.any(axis=0))
+    rows = {r["item"] - 100: r for r in model.factors.collect()}
+    assert sorted(rows) == used.tolist()
+    s, vh = np.linalg.svd(x[:, used].astype(float), full_matrices=False)[1:]
+    want = min(k, int((s > 1e-9).sum()))
+    v = np.stack([rows[i].v for i in used])
+    assert v.shape[1] == want and np.allclose(rows[used[0]].sigma, s[:want], rtol=1e-7)
+    assert np.allclose(v @ v.T, vh[:want].T @ vh[:want], atol=1e-5)
+    assert np.allclose(v.T @ v, np.eye(want), atol=1e-8) and (v[np.abs(v).argmax(axis=0), range(want)] > 0).all()
+    assert np.isclose(rows[used[0]].energy, (x.astype(float) ** 2).sum())
+
+
+def test_dense_and_lanczos_groups_together(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    wide = rng.integers(0, 2, (80, 40)) * (rng.random((80, 40)) < 0.3)
+    rows = [(c, 100 * c + u, i, float(v)) for c in (0, 1) for u, r in enumerate(wide[:, : 40 if c else 12]) for i, v in enumerate(r) if v]
+    data = spark.createDataFrame(rows, "grp long, user_id long, item long, value double")
+    whole = factor.fit_svd(data, 4, "grp")
+    monkeypatch.setattr(factor, "DENSE_ITEMS", 20)
+    both = factor.fit_svd(data, 4, "grp")
+    a, b = (np.array(values(factor.evaluate(m).drop("grp")), float) for m in (whole, both))
+    assert np.allclose(a, b, atol=1e-6)
