@@ -96,6 +96,44 @@ def test_counts_equal_brute_force(spark):
         assert r.both == sum(bool(cons & set(t)) for t in matched)
 
 
+def plain_counts(texts, ante, cons):
+    matched = [t for t in texts if set(ante) <= set(t)]
+    return len(matched), sum(bool(set(cons) & set(t)) for t in matched), sum(bool(set(cons) & set(t)) for t in texts)
+
+
+def test_many_rules_over_few_sides(spark, monkeypatch):
+    """A hundred thousand rules from 320 antecedents and 320 consequents; several trees."""
+    rng = random.Random(6)
+    letters = "abcdefghijkl"
+    texts = ["".join(c for c in letters if rng.random() < 0.4) or "a" for _ in range(200)]
+    left = [tuple(c for c in letters[:6] if rng.random() < 0.6) or ("a",) for _ in range(320)]
+    right = [tuple(c for c in letters[4:10] if rng.random() < 0.5) or ("h",) for _ in range(320)]
+    keys = sorted({(a, c) for a in left for c in right})
+    table = spark.createDataFrame([(list(a), list(c), a[0], 0.5, 1.0, 0.1, k) for k, (a, c) in enumerate(keys)], RULE + ", k long")
+    table = table.crossJoin(spark.range(-(-100_000 // len(keys))).withColumnRenamed("id", "copy"))
+    monkeypatch.setattr(rules_eval, "TREE_SETS", 300)
+    got = rules_eval.rule_counts(table, long_rows(spark, *texts)).select("k", "matched", "both", "hit")
+    rows = got.groupBy("k", "matched", "both", "hit").count().collect()
+    assert sum(r["count"] for r in rows) >= 100_000 and len(rows) == len(keys)
+    for r in rng.sample(rows, 400):
+        assert (r.matched, r.both, r.hit) == plain_counts(texts, *keys[r.k])
+
+
+def test_long_rules_and_groups(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnop"
+    texts = ["".join(c for c in letters if rng.random() < 0.6) or "a" for _ in range(80)]
+    sides = [("ab", letters[2:]), ("abc", "bcd"), ("q", "a"), ("a", "q"), ("ba", "dc")]
+    rows = [(c, list(a), list(b), a[0], 0.5, 1.0, 0.1) for c in (1, 2) for a, b in sides]
+    table = spark.createDataFrame(rows, "cluster int, " + RULE)
+    half = len(texts) // 2
+    data = long_rows(spark, *texts).selectExpr(f"IF(order_id < {half}, 1, 2) AS cluster", "*")
+    for r in rules_eval.rule_counts(table, data, "cluster").collect():
+        own = texts[:half] if r.cluster == 1 else texts[half:]
+        want = plain_counts(own, r.antecedents, r.consequents)
+        assert (r.matched, r.both, r.hit, r.n_orders) == (*want, len(own))
+
+
 def test_holdout_is_disjoint_and_whole(ws):
     model = ws.department_rules
     train = model.itemsets.first().n_baskets
