@@ -1,8 +1,9 @@
 """Row positions that stay parallel whatever the size of a group.
 
-One method for every key: rows are ranged by (key, order, id), so a key with very many rows spans
-several ranges and one with few shares a range. Rows are numbered inside (range, key) and shifted by
-the counts of the ranges before.
+The largest group is measured first. Where one task can sort it, rows are numbered by a window over
+the key. Otherwise rows are ranged by (key, order, id), so a key with very many rows spans several
+ranges and one with few shares a range, numbered inside (range, key) and shifted by the counts of the
+ranges before.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from basketlab.session import cut
 
+# Rows of the largest group that a window in one task still numbers.
+WINDOW_ROWS = 1_000_000
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -41,6 +44,15 @@ def global_position(df: DataFrame, id_col: str, name: str = "position") -> DataF
 
 def number_in_group(df: DataFrame, key: str, order: str, id_col: str) -> DataFrame:
     """Add ``number`` (1..n by order, id; nulls first), ``previous`` (order value one row earlier), ``total``."""
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        own = Window.partitionBy(key).orderBy(order, id_col)
+        return df.select(
+            *df.columns,
+            F.row_number().over(own).alias("number"),
+            F.lag(order).over(own).alias("previous"),
+            F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
+        )
     ranged = _ranged(df, key, order, id_col)
     # Nulls come first, so the last value of a range is its greatest (null if all are).
     parts = ranged.groupBy(key, "_range").agg(

@@ -3,6 +3,7 @@ from helpers import values
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from basketlab.functions import position
 from basketlab.functions.position import global_position, number_in_group
 from basketlab.operators import clean
 
@@ -54,7 +55,9 @@ def test_global_position_with_gaps_between_ids(spark):
     )
 
 
-def test_numbers_equal_a_plain_window_for_hot_users_and_null_dates(spark):
+@pytest.mark.parametrize("window_rows", [0, 1_000_000])
+def test_numbers_equal_a_plain_window_for_hot_users_and_null_dates(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(position, "WINDOW_ROWS", window_rows)
     rows = [(1 if i % 3 else i, None if i % 4 == 0 else i * 7 % 50, i * (1 << 40) - 9) for i in range(400)]
     rows += [(None, 3, 5), (None, None, 6), (2, None, 1 << 60), (2, None, 1 << 59)]
     df = spark.createDataFrame(rows, "user_id long, day long, id long")
