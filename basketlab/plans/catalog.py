@@ -435,7 +435,9 @@ def svd_energy(ws: Workspace) -> DataFrame:
 
 @query
 def explained_variance(ws: Workspace) -> DataFrame:
-    return factor.explained_variance(ws.aisle_svd_rank10)
+    found = factor.explained_variance(ws.aisle_svd_rank10)
+    shares = rounded("sigma", "share", "cumulative_share", "share_of_total")
+    return found.select("component", *shares, "components_for_95")
 
 
 @query

@@ -16,6 +16,8 @@ from basketlab.plans.workspace import (
 
 # name -> (names it builds on, SELECT text)
 CTES: dict[str, tuple[list[str], str]] = {}
+# Those that refer to themselves.
+RECURSIVE = {"rotated"}
 
 
 def cte(name: str, needs: str, sql: str) -> None:
@@ -34,8 +36,9 @@ def build(final: str, needs: str) -> str:
 
     for name in needs.split():
         visit(name)
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in done)
-    return f"WITH {body}\n{final}" if done else final
+    body = ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({CTES[n][1]})" for n in done)
+    recursive = "RECURSIVE " if RECURSIVE & set(done) else ""
+    return f"WITH {recursive}{body}\n{final}" if done else final
 
 
 def train(col: str) -> str:
@@ -342,7 +345,7 @@ def metrics_sql(p: str, keys: str = "") -> str:
     )
 
 
-def ranking_sql(worst_first: bool) -> str:
+def ranking_sql(worst_first: bool, truth: str = "truth", scored: str = "scored") -> str:
     position = "least(5, n_pred) + 1 - rank" if worst_first else "rank"
     return build(
         f"""SELECT count(*) AS n_users, round(avg(hits / 5.0), 6) AS precision_at_k,
@@ -352,16 +355,16 @@ def ranking_sql(worst_first: bool) -> str:
         FROM (SELECT user_id, n_true, coalesce(hits, 0) AS hits, coalesce(dcg, 0) AS dcg,
           coalesce(ap, 0) AS ap, (SELECT sum(1 / log2(p + 1)) FROM range(1, 6) t(p)
           WHERE p <= n_true) AS idcg
-          FROM (SELECT user_id, count(*) AS n_true FROM truth GROUP BY 1)
+          FROM (SELECT user_id, count(*) AS n_true FROM {truth} GROUP BY 1)
           LEFT JOIN (SELECT user_id, sum(hit) AS hits, sum(hit / log2(pos + 1)) AS dcg,
             sum(hit * running / pos) AS ap
             FROM (SELECT *, sum(hit) OVER (PARTITION BY user_id ORDER BY pos) AS running
               FROM (SELECT s.user_id, {position} AS pos,
                 CASE WHEN t.item IS NULL THEN 0 ELSE 1 END AS hit
-                FROM scored s LEFT JOIN truth t ON t.user_id = s.user_id AND t.item = s.item
+                FROM {scored} s LEFT JOIN {truth} t ON t.user_id = s.user_id AND t.item = s.item
                 WHERE rank <= 5))
             GROUP BY 1) USING (user_id))""",
-        "truth scored",
+        f"{truth} {scored}",
     )
 
 
@@ -416,6 +419,75 @@ cte(
     "false FROM svd_list WHERE rank <= 5 AND user_id NOT IN (SELECT user_id FROM cluster_inter)",
 )
 
+# --- truncated factors: eigenvectors of the Gram matrix by parallel Jacobi rotations ---------
+# Step s turns the pairs of places (i, s - i modulo n) by the angle that clears their cell, so n
+# steps meet every pair; ten times through all pairs leaves nothing off the diagonal.
+
+cte("placed", "aisle_counts", "SELECT item, row_number() OVER (ORDER BY item) - 1 AS i FROM (SELECT DISTINCT item FROM aisle_counts)")
+cte(
+    "gram_cells",
+    "aisle_counts placed",
+    "SELECT (SELECT count(*) FROM placed) AS n, list(coalesce(dot, 0)::DOUBLE ORDER BY x.i, y.i) AS a FROM placed x "
+    "CROSS JOIN placed y LEFT JOIN (SELECT a.item AS p, b.item AS q, sum(a.value * b.value) AS dot FROM aisle_counts a "
+    f"JOIN aisle_counts b USING (user_id) WHERE {train('user_id')} GROUP BY 1, 2) ON p = x.item AND q = y.item",
+)
+cte(
+    "rotated",
+    "gram_cells",
+    """SELECT 0 AS step, n, a, list_transform(range(n * n), lambda k: CASE WHEN k // n = k % n THEN 1.0::DOUBLE ELSE 0 END) AS v
+    FROM gram_cells
+    UNION ALL
+    SELECT step + 1, n,
+      list_transform(range(n * n), lambda k: c[k % n + 1] * b[k + 1] + g[k % n + 1] * b[k // n * n + p[k % n + 1] + 1]),
+      list_transform(range(n * n), lambda k: c[k % n + 1] * v[k + 1] + g[k % n + 1] * v[k // n * n + p[k % n + 1] + 1])
+    FROM (SELECT *, list_transform(range(n * n),
+            lambda k: c[k // n + 1] * a[k + 1] + g[k // n + 1] * a[p[k // n + 1] * n + k % n + 1]) AS b
+      FROM (SELECT *, list_transform(t, lambda x: 1 / sqrt(1 + x * x)) AS c,
+              list_transform(range(n), lambda i: CASE WHEN i < p[i + 1] THEN -1 ELSE 1 END * t[i + 1] / sqrt(1 + t[i + 1] * t[i + 1])) AS g
+        FROM (SELECT *, list_transform(range(n), lambda i: CASE WHEN x[i + 1] = 0 OR p[i + 1] = i THEN 0 ELSE
+                  CASE WHEN d[i + 1] / x[i + 1] >= 0 THEN 1 ELSE -1 END
+                  / (abs(d[i + 1] / x[i + 1]) + sqrt(1 + (d[i + 1] / x[i + 1]) * (d[i + 1] / x[i + 1]))) END) AS t
+          FROM (SELECT *, list_transform(range(n), lambda i: a[i * n + p[i + 1] + 1]) AS x,
+                  list_transform(range(n), lambda i: (a[greatest(i, p[i + 1]) * (n + 1) + 1] - a[least(i, p[i + 1]) * (n + 1) + 1]) / 2) AS d
+            FROM (SELECT *, list_transform(range(n), lambda i: (step % n - i + n) % n) AS p FROM rotated WHERE step < 10 * n)))))""",
+)
+cte(
+    "turned",
+    "rotated",
+    "SELECT n, a, v FROM rotated WHERE step = 10 * n",
+)
+cte(
+    "leading10",
+    "turned",
+    "SELECT *, row_number() OVER (ORDER BY power DESC) AS component FROM (SELECT k, a[k * (n + 1) + 1] AS power, n, v, "
+    "list_sum(list_transform(range(n), lambda i: a[i * (n + 1) + 1])) AS energy FROM (SELECT *, unnest(range(n)) AS k FROM turned)) "
+    "QUALIFY component <= 10",
+)
+cte(
+    "projector",
+    "leading10 placed",
+    "SELECT x.item AS p, y.item AS q, sum(v[x.i * n + k + 1] * v[y.i * n + k + 1]) AS weight FROM placed x, placed y, leading10 GROUP BY 1, 2",
+)
+cte(
+    "rank10",
+    "aisle_counts projector",
+    "SELECT user_id, q AS item, sum(value * weight) AS r FROM aisle_counts JOIN projector ON p = item GROUP BY 1, 2",
+)
+cte(
+    "rank10_list",
+    "rank10",
+    "SELECT user_id, item, round(r, 9) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(r, 9) DESC, item) "
+    "AS INTEGER) AS rank, count(*) OVER (PARTITION BY user_id) AS n_pred FROM rank10",
+)
+cte("held_truth", "aisle_counts", f"SELECT user_id, item FROM aisle_counts WHERE value > 0 AND NOT {train('user_id')}")
+cte("held_scored", "rank10_list", f"SELECT * FROM rank10_list WHERE NOT {train('user_id')}")
+cte(
+    "held_cells",
+    "rank10 grid",
+    "SELECT value - r AS gap, value > 0 AS truth, r >= 0.5 AS guess FROM rank10 JOIN grid USING (user_id, item) "
+    f"WHERE NOT {train('user_id')}",
+)
+
 # --- customer pages -----------------------------------------------------------------------
 
 
@@ -671,6 +743,25 @@ def integrity_sql() -> str:
     )
 
 
+def svd_metrics_rank10_sql() -> str:
+    ranks = ranking_sql(False, "held_truth", "held_scored")
+    head, tail = ranks.split("\nSELECT count(*) AS n_users", 1)
+    final = f"""SELECT true_positives, false_positives, false_negatives, true_negatives, n_users, {r6("mse")},
+      round(sqrt(mse), 6) AS rmse, {r6("mae")}, round((true_positives + true_negatives) / n, 6) AS accuracy,
+      {r6("precision", "recall")}, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1_score,
+      precision_at_k, recall_at_k, ndcg_at_k, map_at_k, hit_rate_at_k
+    FROM (SELECT *, coalesce(true_positives / nullif(true_positives + false_positives, 0), 0) AS precision,
+            coalesce(true_positives / nullif(true_positives + false_negatives, 0), 0) AS recall
+      FROM (SELECT count(*) AS n, count(*) FILTER (WHERE truth AND guess) AS true_positives,
+              count(*) FILTER (WHERE NOT truth AND guess) AS false_positives,
+              count(*) FILTER (WHERE truth AND NOT guess) AS false_negatives,
+              count(*) FILTER (WHERE NOT truth AND NOT guess) AS true_negatives,
+              avg(gap * gap) AS mse, avg(abs(gap)) AS mae FROM held_cells)), ranks"""
+    return build(final, "held_cells held_truth held_scored").replace(
+        f"\n{final}", f",\nranks AS (SELECT count(*) AS n_users{tail})\n{final}"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     means = "round(avg(recency), {d}) AS recency, round(avg(frequency), {d}) AS frequency, round(avg(monetary), {d}) AS monetary"
     return {
@@ -841,6 +932,17 @@ def oracle_sql() -> dict[str, str]:
             f"{train('user_id')}) AS DOUBLE), 3) AS energy, 1.0::DOUBLE AS kept_share FROM aisle_counts",
             "aisle_counts",
         ),
+        "explained_variance": build(
+            "SELECT component, round(sqrt(power), 6) AS sigma, round(share, 6) AS share, round(upto, 6) AS cumulative_share, "
+            "round(power / energy, 6) AS share_of_total, min(component) FILTER (WHERE upto >= 0.95) OVER () AS components_for_95 "
+            "FROM (SELECT *, sum(share) OVER (ORDER BY component) AS upto FROM (SELECT CAST(component AS INTEGER) AS component, "
+            "power, energy, power / sum(power) OVER () AS share FROM leading10))",
+            "leading10",
+        ),
+        "svd_recommend_aisles_rank10": build(
+            "SELECT user_id, item AS aisle_id, round(score, 6) AS score, rank FROM rank10_list WHERE rank <= 5", "rank10_list"
+        ),
+        "svd_metrics_rank10": svd_metrics_rank10_sql(),
         "user_factors": build("SELECT DISTINCT user_id, 1.0::DOUBLE AS norm FROM aisle_counts", "aisle_counts"),
         "svd_metrics": build(
             "SELECT count(*) FILTER (WHERE value > 0) AS true_positives, 0::BIGINT AS false_positives, "
