@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -65,6 +66,10 @@ def basket_arrays(baskets: DataFrame, *group: str) -> DataFrame:
     return baskets.groupBy(*group, "order_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+# Groups fitted at the same time.
+FITS = 4
+
+
 @dataclass(frozen=True)
 class RuleModel:
     itemsets: DataFrame
@@ -91,15 +96,15 @@ def _no_itemsets(rows: DataFrame, g: str) -> DataFrame:
 
 
 def frequent_itemsets(
-    baskets: DataFrame, min_support: float, group_col: str | None = None
+    baskets: DataFrame, min_support: float, group_col: str | None = None, min_count: int = 1
 ) -> DataFrame:
-    """Itemsets of any length with freq / number of baskets >= ``min_support``.
+    """Itemsets of any length with freq / number of baskets >= ``min_support`` and freq >= ``min_count``.
 
     Columns: items (sorted), freq, n_baskets, support, anchor (the rarest member), and the
     group column. Items that are not frequent alone are left out before arrays are built, so
     an array never exceeds the number of frequent items (at most mean basket size /
     min_support). Groups are few (customer segments); each gets its own fit over one
-    persisted table.
+    persisted table, side by side.
     """
     rows, g = _grouped(baskets, group_col)
     sizes = rows.select(g, "order_id").distinct().groupBy(g).agg(F.count(F.lit(1)).alias("n"))
@@ -110,32 +115,33 @@ def frequent_itemsets(
     singles = (
         rows.groupBy(g, "item")
         .agg(F.count(F.lit(1)).alias("freq"))
-        .where(F.col("freq") / total >= min_support)
+        .where((F.col("freq") / total >= min_support) & (F.col("freq") >= min_count))
     )
     kept = rows.join(singles.select(g, "item"), [g, "item"], "left_semi")
     arrays = basket_arrays(kept, g).persist()
     try:
         used = {r[g]: r["n"] for r in arrays.groupBy(g).agg(F.count("*").alias("n")).collect()}
-        parts = []
-        for key in sorted(used):
+
+        def fit(key: int) -> DataFrame:
             # FPGrowth rounds the threshold itself; ask for slightly more and filter exactly.
-            share = max(0.0, min_support * totals[key] - 0.5) / used[key]
+            share = max(0.0, max(min_support * totals[key], min_count) - 0.5) / used[key]
             model = FPGrowth(itemsCol="items", minSupport=min(1.0, share)).fit(
                 arrays.where(F.col(g) == key).select("items")
             )
-            parts.append(
-                model.freqItemsets.select(
-                    F.lit(key).alias(g),
-                    F.sort_array("items").alias("items"),
-                    "freq",
-                    F.lit(totals[key]).cast("long").alias("n_baskets"),
-                )
+            return model.freqItemsets.select(
+                F.lit(key).alias(g),
+                F.sort_array("items").alias("items"),
+                "freq",
+                F.lit(totals[key]).cast("long").alias("n_baskets"),
             )
+
+        with ThreadPoolExecutor(FITS) as pool:
+            parts = list(pool.map(fit, sorted(used)))
         if not parts:
             return _no_itemsets(rows, g)
         found = reduce(DataFrame.unionByName, parts)
         found = found.withColumn("support", F.col("freq") / F.col("n_baskets"))
-        found = cut(found.where(F.col("support") >= min_support))
+        found = cut(found.where((F.col("support") >= min_support) & (F.col("freq") >= min_count)))
     finally:
         arrays.unpersist()
     alone = found.where(F.size("items") == 1).select(
@@ -209,6 +215,7 @@ def fit_rules(
     test_size: float = 0.2,
     seed: int = 42,
     group_col: str | None = None,
+    min_count: int = 1,
 ) -> RuleModel:
     """Hold out a share of the orders, mine the rest, derive rules.
 
@@ -216,6 +223,6 @@ def fit_rules(
     """
     baskets = cut(baskets)
     mask = is_train("order_id", test_size, seed)
-    itemsets = cut(frequent_itemsets(baskets.where(mask), min_support, group_col))
+    itemsets = cut(frequent_itemsets(baskets.where(mask), min_support, group_col, min_count))
     rules = cut(rules_of(itemsets, min_lift, group_col))
     return RuleModel(itemsets, rules, baskets.where(~mask))

@@ -136,6 +136,41 @@ def rule_summary(triggered: DataFrame) -> DataFrame:
     )
 
 
+def _rule_text() -> Column:
+    sides = [F.array_join(F.col(c).cast("array<string>"), ",") for c in ("antecedents", "consequents")]
+    return F.concat_ws(">", *sides)
+
+
+def rule_names(rules: DataFrame, dimension: DataFrame, id_col: str, name_col: str, default: str) -> DataFrame:
+    """Each distinct rule with the names of its sides, in the order of their ids.
+
+    Names meet the rules, not their many matches; an id without a name reads ``<default> <id>``.
+    """
+    keys = rules.select("antecedents", "consequents").distinct()
+    out = keys
+    for side in ("antecedents", "consequents"):
+        sets = keys.select(side).distinct()
+        parts = sets.select(side, F.posexplode(side).alias("pos", id_col)).join(dimension, id_col, "left")
+        name = name_or(name_col, default, id_col)
+        named = parts.groupBy(side).agg(F.sort_array(F.collect_list(F.struct("pos", name.alias("name")))).alias("n"))
+        names = F.transform("n", lambda x: x["name"]).alias(side[:-1] + "_names")
+        out = out.join(named.select(side, names), side)
+    return out
+
+
+def rule_list(triggered: DataFrame, names: DataFrame) -> DataFrame:
+    """(user_id, antecedents, consequents and their names): each rule once per user."""
+    return user_rules(triggered).join(names, ["antecedents", "consequents"])
+
+
+def with_triggered_rules(history: DataFrame, triggered: DataFrame) -> DataFrame:
+    """``history`` (one row per order) with ``n_rules`` and ``rules``, the sorted texts of the rules it triggers."""
+    found = triggered.groupBy("order_id").agg(F.sort_array(F.collect_list(_rule_text())).alias("rules"))
+    empty = F.array().cast("array<string>")
+    joined = history.join(found, "order_id", "left").withColumn("rules", F.coalesce("rules", empty))
+    return joined.withColumn("n_rules", F.size("rules"))
+
+
 def _scored_rules(rules: DataFrame) -> DataFrame:
     """Each rule once per set of weights, with its score and its place among all rules there."""
     sets = [*((c, *w) for c, w in CLUSTER_WEIGHTS.items()), (_OTHER, *OTHER_WEIGHTS)]
@@ -221,6 +256,27 @@ def bought_together(
     return top_per_group(one, [group_col, "product"], order, n)
 
 
+def bought_together_for(
+    requests: DataFrame, user_clusters: DataFrame, rules: DataFrame, products: DataFrame, n: int = 5
+) -> DataFrame:
+    """For each requested (user_id, product_id): the products bought together with it in the
+    user's segment, with names. ``rules`` are mined per segment over product ids."""
+    asked = requests.distinct().join(user_clusters.select("user_id", "cluster"), "user_id")
+    pages = asked.select("cluster", F.col("product_id").alias("product"))
+    listed = bought_together(rules, n, requests=pages)
+    name = name_or("product_name", "Product", "product_id").alias("product_name")
+    return (
+        asked.withColumnRenamed("product_id", "product")
+        .join(listed, ["cluster", "product"])
+        .withColumnRenamed("item", "product_id")
+        .join(products.select("product_id", "product_name"), "product_id", "left")
+        .select(
+            "user_id", F.col("product").alias("asked_id"), "cluster", "rank", "product_id", name,
+            "confidence", "lift", "support", "score",
+        )
+    )
+
+
 # --- products -----------------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ from basketlab.operators import (
     search,
     segment,
 )
-from basketlab.plans.workspace import AISLE_RULES, DOCUMENT_SEARCHES, PRODUCT_SEARCHES, Workspace
+from basketlab.plans.workspace import ASKED, AISLE_RULES, DOCUMENT_SEARCHES, PRODUCT_SEARCHES, Workspace
 from basketlab.session import cut, new_folder
 from basketlab.sources import integrity, store, tables
 
@@ -156,8 +156,7 @@ def validate_user_ids(ws: Workspace) -> DataFrame:
 
 @query
 def product_detail(ws: Workspace) -> DataFrame:
-    sold = ws.view.lines.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    asked = sold.orderBy(F.desc("n"), F.asc("product_id")).limit(20)
+    asked = ws.star.where(F.col("product_id") % ASKED == 0)
     return recommend.product_detail(ws.star, asked)
 
 
@@ -521,7 +520,14 @@ def cluster_svd_metrics(ws: Workspace) -> DataFrame:
 
 @query
 def similar_users(ws: Workspace) -> DataFrame:
-    found = factor.similar_users(ws.aisle_svd, ws.top_users, 10)
+    """Every user whose id ASKED divides against all train users."""
+    found = factor.similar_users(ws.aisle_svd, ws.asked_users, 10)
+    return found.select("user_id", "neighbour", *rounded("similarity"), "rank")
+
+
+@query
+def similar_users_rank10(ws: Workspace) -> DataFrame:
+    found = factor.similar_users(ws.aisle_svd_rank10, ws.asked_users, 10)
     return found.select("user_id", "neighbour", *rounded("similarity"), "rank")
 
 
@@ -597,8 +603,7 @@ def order_history(ws: Workspace) -> DataFrame:
 
 @query
 def triggered_rules(ws: Workspace) -> DataFrame:
-    rows = recommend.triggered_rules(ws.order_arrays, ws.aisle_rules.rules)
-    return rows.select(
+    return ws.triggered.select(
         "user_id",
         "order_id",
         ids_text("antecedents").alias("antecedents"),
@@ -609,7 +614,24 @@ def triggered_rules(ws: Workspace) -> DataFrame:
 
 @query
 def rule_summary(ws: Workspace) -> DataFrame:
-    return recommend.rule_summary(recommend.triggered_rules(ws.order_arrays, ws.aisle_rules.rules))
+    return recommend.rule_summary(ws.triggered)
+
+
+@query
+def user_rule_list(ws: Workspace) -> DataFrame:
+    """Each rule once per user, with the names of its aisles."""
+    names = recommend.rule_names(ws.aisle_rules.rules, ws.view.aisles, "aisle_id", "aisle", "Aisle")
+    rows = recommend.rule_list(ws.triggered, names)
+    texts = [F.array_join(c, ",").alias(c) for c in ("antecedent_names", "consequent_names")]
+    return rows.select("user_id", ids_text("antecedents").alias("antecedents"), ids_text("consequents").alias("consequents"), *texts)
+
+
+@query
+def order_history_rules(ws: Workspace) -> DataFrame:
+    """The order history with the rules each order triggers."""
+    history = recommend.order_history(ws.clean_orders, ws.user_lines, ws.view.aisles)
+    rows = recommend.with_triggered_rules(history, ws.triggered)
+    return rows.select("user_id", "order_id", "order_number", "n_rules", F.array_join("rules", ";").alias("rules"))
 
 
 @query
@@ -694,6 +716,24 @@ def bought_together_keep_last(ws: Workspace) -> DataFrame:
     return _bought_together(ws, "last")
 
 
+@query
+def cluster_product_rules(ws: Workspace) -> DataFrame:
+    return _rules(ws.product_rules.rules, "cluster")
+
+
+@query
+def product_page_bought_together(ws: Workspace) -> DataFrame:
+    """Every user whose id ASKED divides opens the pages of the products they bought."""
+    requests = recommend.user_items(ws.user_lines, "product_id", ws.asked_users)
+    rows = recommend.bought_together_for(
+        requests.withColumnRenamed("item", "product_id"), ws.user_clusters, ws.product_rules.rules, ws.star
+    )
+    return rows.select(
+        "user_id", "asked_id", "cluster", "rank", "product_id", "product_name",
+        *rounded("confidence", "lift", "support", "score"),
+    )
+
+
 @query
 def last_login(ws: Workspace) -> DataFrame:
     return recommend.last_login(ws.view.logins)
@@ -760,17 +800,17 @@ def search_by_aisle(ws: Workspace) -> DataFrame:
 
 @query
 def search_products_personal(ws: Workspace) -> DataFrame:
-    """Each of the 20 top users asks the first search; the segment model's list joins the score."""
+    """Every user whose id ASKED divides asks the first search; the segment model's list joins the score."""
     text = PRODUCT_SEARCHES[0][1]
-    asked = ws.top_users.select(F.col("user_id").alias("query_id"), F.lit(text).alias("text"))
-    listed = factor.recommend(ws.product_svd, search.SVD_LIST, users=ws.top_users)
+    asked = ws.asked_users.select(F.col("user_id").alias("query_id"), F.lit(text).alias("text"))
+    listed = factor.recommend(ws.product_svd, search.SVD_LIST, users=ws.asked_users)
     svd = listed.select(
         F.col("user_id").alias("query_id"),
         F.col("item").alias("doc_id"),
         F.col("score").alias("svd_score"),
     )
     found = search.query(ws.product_index, ws.product_docs, asked, svd=svd)
-    mine = recommend.user_items(ws.user_lines, "product_id", ws.top_users)
+    mine = recommend.user_items(ws.user_lines, "product_id", ws.asked_users)
     bought = mine.select(F.col("user_id").alias("query_id"), F.col("item").alias("doc_id"))
     return search.products(found, ws.star, bought)
 

@@ -7,10 +7,12 @@ from basketlab.operators.recommend import CLUSTER_WEIGHTS, OTHER_WEIGHTS
 from basketlab.operators.segment import CARD_DESCRIPTIONS, DESCRIPTIONS
 from basketlab.plans.workspace import (
     AISLE_RULES,
+    ASKED,
     CENTROIDS,
     CLUSTER_RULES,
     DEPARTMENT_RULES,
     DOCUMENT_SEARCHES,
+    PRODUCT_RULES,
     PRODUCT_SEARCHES,
 )
 
@@ -215,7 +217,7 @@ def cluster_baskets(name: str, item: str) -> None:
     )
 
 
-def mine(name: str, baskets: str, levels: int, min_support: float, min_lift: float) -> None:
+def mine(name: str, baskets: str, levels: int, min_support: float, min_lift: float, min_count: int = 1) -> None:
     """Level-wise itemsets of ``baskets`` (cluster, order_id, item) and their rules."""
     p = name
     cte(f"{p}_train", baskets, f"SELECT * FROM {baskets} WHERE {train('order_id')}")
@@ -231,7 +233,7 @@ def mine(name: str, baskets: str, levels: int, min_support: float, min_lift: flo
             f"{p}_l{k}",
             f"{p}_b{k} {p}_n",
             f"SELECT cluster, items, count(*) AS freq, any_value(n) AS n FROM {p}_b{k} "
-            f"JOIN {p}_n USING (cluster) GROUP BY cluster, items HAVING count(*) / any_value(n) >= {min_support}",
+            f"JOIN {p}_n USING (cluster) GROUP BY cluster, items HAVING count(*) / any_value(n) >= {min_support} AND count(*) >= {min_count}",
         )
         if k < levels:
             cte(
@@ -301,6 +303,7 @@ cluster_baskets("product_baskets", "product_id")
 mine("dept", "dept_baskets", 6, **DEPARTMENT_RULES)
 mine("shelf", "aisle_baskets", 9, **AISLE_RULES)
 mine("name", "name_baskets", 9, **CLUSTER_RULES)
+mine("product", "product_baskets", 5, **PRODUCT_RULES)
 
 _SIDES = (
     "array_to_string(antecedents, ',') AS antecedents, "
@@ -479,6 +482,11 @@ cte(
     "SELECT user_id, item, round(r, 9) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(r, 9) DESC, item) "
     "AS INTEGER) AS rank, count(*) OVER (PARTITION BY user_id) AS n_pred FROM rank10",
 )
+cte(
+    "rank10_lengths",
+    "rank10",
+    "SELECT user_id, sqrt(greatest(sum(value * r), 0)) AS length FROM rank10 JOIN aisle_counts USING (user_id, item) GROUP BY 1",
+)
 cte("held_truth", "aisle_counts", f"SELECT user_id, item FROM aisle_counts WHERE value > 0 AND NOT {train('user_id')}")
 cte("held_scored", "rank10_list", f"SELECT * FROM rank10_list WHERE NOT {train('user_id')}")
 cte(
@@ -827,9 +835,8 @@ def oracle_sql() -> dict[str, str]:
             "retail_orders",
         ),
         "product_detail": build(
-            "SELECT * FROM star WHERE product_id IN (SELECT product_id FROM retail_lines GROUP BY 1 "
-            "ORDER BY count(*) DESC, product_id LIMIT 20)",
-            "star retail_lines",
+            f"SELECT * FROM star WHERE product_id % {ASKED} = 0",
+            "star",
         ),
         "user_products": build("SELECT DISTINCT user_id, product_id AS item FROM user_lines", "user_lines"),
         "user_aisles": build("SELECT DISTINCT user_id, aisle_id AS item FROM user_lines", "user_lines"),
@@ -962,9 +969,44 @@ def oracle_sql() -> dict[str, str]:
             "ORDER BY s DESC, neighbour) AS INTEGER) AS rank FROM (SELECT a.user_id, b.user_id AS neighbour, "
             "round(sum(a.value * b.value) / (any_value(na.norm) * any_value(nb.norm)), 9) AS s FROM "
             "aisle_counts a JOIN aisle_counts b USING (item) JOIN norms na ON na.user_id = a.user_id JOIN norms nb "
-            f"ON nb.user_id = b.user_id WHERE a.user_id IN (SELECT user_id FROM top_users) AND {train('b.user_id')} "
+            f"ON nb.user_id = b.user_id WHERE a.user_id % {ASKED} = 0 AND {train('b.user_id')} "
             "GROUP BY 1, 2) QUALIFY rank <= 10",
-            "norms top_users",
+            "norms",
+        ),
+        "similar_users_rank10": build(
+            "SELECT user_id, neighbour, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY user_id ORDER BY "
+            "s DESC, neighbour) AS INTEGER) AS rank FROM (SELECT a.user_id, b.user_id AS neighbour, round(coalesce(sum(a.r * "
+            "b.value) / nullif(any_value(x.length) * any_value(y.length), 0), 0), 9) AS s FROM rank10 a JOIN aisle_counts b USING (item) "
+            "JOIN rank10_lengths x ON x.user_id = a.user_id JOIN rank10_lengths y ON y.user_id = b.user_id "
+            f"WHERE a.user_id % {ASKED} = 0 AND {train('b.user_id')} GROUP BY 1, 2) QUALIFY rank <= 10",
+            "rank10_lengths",
+        ),
+        "user_rule_list": build(
+            f"SELECT user_id, {_SIDES}, "
+            + ", ".join(
+                f"(SELECT string_agg(coalesce(aisle, 'Aisle ' || x), ',' ORDER BY x) FROM unnest({c}s) u(x) LEFT JOIN aisles ON aisle_id = x) AS {c}_names"
+                for c in ("antecedent", "consequent")
+            )
+            + " FROM (SELECT DISTINCT user_id, antecedents, consequents FROM triggered)",
+            "triggered aisles",
+        ),
+        "order_history_rules": build(
+            "SELECT user_id, order_id, order_number, CAST(count(t.rule) AS INTEGER) AS n_rules, "
+            "coalesce(string_agg(t.rule, ';' ORDER BY t.rule), '') AS rules FROM clean_orders LEFT JOIN (SELECT order_id, "
+            "array_to_string(antecedents, ',') || '>' || array_to_string(consequents, ',') AS rule FROM triggered) t "
+            "USING (order_id) GROUP BY 1, 2, 3",
+            "clean_orders triggered",
+        ),
+        "cluster_product_rules": rules_sql("product", "cluster, "),
+        "product_page_bought_together": build(
+            "SELECT a.user_id, a.product_id AS asked_id, a.cluster, b.rank, b.item AS product_id, product_name, "
+            f"{r6('confidence', 'lift', 'support', 'score')} FROM (SELECT DISTINCT user_id, product_id, cluster FROM user_lines "
+            f"JOIN seg USING (user_id) WHERE user_id % {ASKED} = 0) a JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY cluster, "
+            "product ORDER BY score DESC, item) AS INTEGER) AS rank FROM (SELECT *, combined_score AS score FROM (SELECT *, "
+            "unnest(consequents) AS item FROM (SELECT *, unnest(antecedents) AS product FROM product_rules)) QUALIFY row_number() "
+            "OVER (PARTITION BY cluster, product, item ORDER BY combined_score DESC, antecedents, consequents) = 1) QUALIFY rank <= 5) b "
+            "ON b.cluster = a.cluster AND b.product = a.product_id LEFT JOIN star ON star.product_id = b.item",
+            "user_lines seg product_rules star",
         ),
         "stored_svd_model": build(
             "SELECT user_id, item AS aisle_id, score, rank FROM svd_list WHERE rank <= 5", "svd_list"

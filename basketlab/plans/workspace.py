@@ -20,6 +20,9 @@ CENTROIDS = [(-0.5, 0.8, 0.5), (1.2, -0.9, -0.8), (-0.2, 1.0, 1.3), (-0.4, -0.4,
 DEPARTMENT_RULES = {"min_support": 0.05, "min_lift": 0.9}
 AISLE_RULES = {"min_support": 0.01, "min_lift": 1.0}
 CLUSTER_RULES = {"min_support": 0.005, "min_lift": 1.0}
+PRODUCT_RULES = {"min_support": 0.0005, "min_lift": 1.0, "min_count": 2}
+# Requests: every user or product whose id this divides.
+ASKED = 50
 
 # What visitors type into the search box.
 PRODUCT_SEARCHES = [
@@ -107,6 +110,16 @@ class Workspace:
         rows = baskets.cluster_baskets(self.user_lines, self.user_clusters, "product_name")
         return baskets.fit_rules(rows, **CLUSTER_RULES, group_col="cluster")
 
+    @cached_property
+    def product_rules(self) -> baskets.RuleModel:
+        """Per segment over product ids, as a product page asks for them."""
+        rows = baskets.cluster_baskets(self.user_lines, self.user_clusters, "product_id")
+        return baskets.fit_rules(rows, **PRODUCT_RULES, group_col="cluster")
+
+    @cached_property
+    def triggered(self) -> DataFrame:
+        return recommend.triggered_rules(self.order_arrays, self.aisle_rules.rules)
+
     @cached_property
     def aisle_rule_counts(self) -> DataFrame:
         return cut(rules_eval.rule_counts(self.aisle_rules.rules, self.aisle_rules.test))
@@ -180,9 +193,14 @@ class Workspace:
         cells = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("text")) for i, t in rows])
         return self.spark.range(1).select(F.explode(cells).alias("q")).select("q.*")
 
+    @cached_property
+    def asked_users(self) -> DataFrame:
+        """Request table: every user with lines whose id ASKED divides."""
+        return self.aisle_counts.select("user_id").distinct().where(F.col("user_id") % ASKED == 0)
+
     @cached_property
     def top_users(self) -> DataFrame:
-        """Request table: the 20 users with most lines."""
+        """The visitors who type PRODUCT_SEARCHES are the first of the 20 users with most lines."""
         totals = self.aisle_counts.groupBy("user_id").agg(F.sum("value").alias("n"))
         return cut(totals.orderBy(F.desc("n"), F.asc("user_id")).limit(20).select("user_id"))
 
