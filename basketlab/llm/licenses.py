@@ -2,7 +2,8 @@
 
 A block is a line, or a run of words of the whole text, whatever its line breaks, so a notice may be
 wrapped anywhere; a run has as many words as the template. A template is found in a block that holds
-at least ``THRESHOLD`` of the template's distinct words. The join is exact and compares few pairs:
+at least ``THRESHOLD`` of the template's distinct words, the words among them that tell the license
+(its ``required`` words) all. The join is exact and compares few pairs:
 
 * global order: words of the templates are counted over all documents, rare ones come first;
 * prefix filter: of a template of n words of which m must be found, one of its first n - m + 1 must
@@ -21,7 +22,7 @@ whatever signs stand between.
 
 Null and empty texts have no words: counts 0, no labels, score 0, first and last null. Repeated rows
 are kept; rows of one id and equal text share their result. Without templates only phrases are
-found. Extra columns are ignored.
+found; templates without a column ``required``, or null in it, require no word. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,27 +42,27 @@ BLOCK = 5_000
 # The base phrases and their labels.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
-# Opening notices of common licenses, as published by their stewards.
+# Opening notices of common licenses, as published by their stewards, and the words that tell each from others.
 TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc0", "dedicated to the public domain under CC0 1.0 Universal"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("reserved", "All rights reserved."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache"),
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted software"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general public"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu general public"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc by nc"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "creative commons attribution noncommercial"),
+    ("cc-by", "Licensed under CC BY 4.0.", "cc by"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
+    ("cc0", "dedicated to the public domain under CC0 1.0 Universal", "cc0"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
+    ("reserved", "All rights reserved.", "rights reserved"),
 ]
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return local_table(spark, TEMPLATES, "label string,text string")
+    return local_table(spark, TEMPLATES, "label string,text string,required string")
 
 
 def _lower_words(text: Column) -> Column:
@@ -118,11 +119,15 @@ def _windows(w: str, step: int, anchors: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(x.alias("words"), F.lit(True).alias("wraps")))
 
 
-def _best_run(window: str, words: str, run: str) -> Column:
-    """Most of the distinct ``words`` that stand in one run of so many words of the window."""
+def _best_run(window: str, words: str, run: str, required: Column) -> Column:
+    """Most of the distinct ``words`` that stand in one run, with the required ones, of so many words of the window."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(window) - F.col(run) + 1, F.lit(1)))
-    held = F.transform(starts, lambda at: F.size(F.array_intersect(words, F.slice(window, at, F.col(run)))))
-    return F.array_max(held)
+    held = F.transform(starts, lambda at: F.array_intersect(words, F.slice(window, at, F.col(run))))
+    return F.array_max(F.transform(held, lambda h: F.when(_holds(h, required), F.size(h)).otherwise(0)))
+
+
+def _holds(words: Column, required: Column) -> Column:
+    return F.size(F.array_except(required, words)) == 0
 
 
 def template_matches(
@@ -133,11 +138,14 @@ def template_matches(
     ``rows`` has doc_id, text and text_hash.
     """
     spark = rows.sparkSession
+    own = F.col("required") if "required" in notices.columns else F.lit(None).cast("string")
     sets = notices.where("text is not null and label is not null").select(
-        "label", _lower_words(F.col("text")).alias("words")
+        "label", _lower_words(F.col("text")).alias("words"), _lower_words(F.coalesce(own, F.lit(""))).alias("required")
     )
-    sets = sets.select("label", F.array_distinct("words").alias("words"), F.size("words").alias("length"))
-    sets = sets.where("length > 0").groupBy("label", "words").agg(F.max("length").alias("length"))
+    # A required word that the template lacks cannot be asked for.
+    asked = F.array_intersect("required", "words").alias("required")
+    sets = sets.select("label", F.array_distinct("words").alias("words"), F.size("words").alias("length"), asked)
+    sets = sets.where("length > 0").groupBy("label", "words", "required").agg(F.max("length").alias("length"))
     parts = max(1, math.ceil((sets.agg(F.sum(F.size("words"))).first()[0] or 0) / block))
     out = None
     for part in range(parts):
@@ -162,6 +170,8 @@ def template_matches(
             spark, prefixes, "word string,template long,label string,n long,need long,at long,run int"
         )
         full = F.array(*[F.array(*[F.lit(w) for w in sorted(r.words)]) for r in taken])
+        asked = F.array(*[F.array(*[F.lit(w) for w in r.required]).cast("array<string>") for r in taken])
+        asked = F.element_at(asked, F.col("template").cast("int") + 1)
         ranks, anchors = F.array(*[F.lit(w) for w in order]), F.array(*[F.lit(w) for w in looked_up])
         texts = rows.where(F.col("text").rlike(hint))
         step = max(p[-1] for p in prefixes)
@@ -178,9 +188,9 @@ def template_matches(
         pairs = pairs.withColumn(
             "common", F.array_intersect("held", F.element_at(full, F.col("template").cast("int") + 1))
         )
-        pairs = pairs.where(F.size("common") >= F.col("need"))
+        pairs = pairs.where((F.size("common") >= F.col("need")) & _holds(F.col("common"), asked))
         pairs = pairs.withColumn(
-            "common", F.when(F.col("window").isNull(), F.size("common")).otherwise(_best_run("window", "common", "run"))
+            "common", F.when(F.col("window").isNull(), F.size("common")).otherwise(_best_run("window", "common", "run", asked))
         )
         found = pairs.where(F.col("common") >= F.col("need")).select(
             "doc_id", "text_hash", "label", (F.col("common") / F.col("n")).alias("share")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,12 +50,41 @@ def places(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column
         return F.struct(end.alias("at"), spans.alias("spans"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    found = F.aggregate(steps, zero, add, lambda state: state["spans"])
+    inside = let(steps, lambda bound: F.transform(parted(bound), lambda part: F.aggregate(part, zero, add)))
+    found = F.flatten(let(inside, _shifted))
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda every mention would compute it anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def parted(items: Column) -> Column:
+    """An array as parts of about as many members as there are parts: to append to a part copies little.
+
+    ``items`` is mentioned often: bind it by :func:`let` first.
+    """
+    width = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), width)
+    return F.transform(starts, lambda at: F.slice(items, at, width))
+
+
+def _shifted(parts: Column) -> Column:
+    """Spans of each part moved by what the parts before it are long."""
+
+    def add(starts: Column, part: Column) -> Column:
+        return F.concat(starts, F.array(F.element_at(starts, -1) + part["at"]))
+
+    starts = F.aggregate(parts, F.array(F.lit(0).cast("long")), add)
+    return F.zip_with(
+        parts,
+        F.slice(starts, F.lit(1), F.size(parts)),
+        lambda part, by: F.transform(
+            part["spans"],
+            lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["text"].alias("text")),
+        ),
+    )
 
 
 def normal_tail(z: Column) -> Column:

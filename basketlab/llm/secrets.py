@@ -25,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.llm.native import normal_tail, overlaps, places
+from basketlab.llm.native import let, normal_tail, parted, places
 from basketlab.llm.common import cut
 
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 16
 RATE = 0.05
+# Spans up to which a text is cut span by span; more are cut by its array of characters.
+FEW = 20
 
 # The patterns. A match of too few characters is dropped, so runs may ask for them at
 # once; an assignment must match first and is measured after.
@@ -79,12 +81,14 @@ def battery(tokens: DataFrame) -> DataFrame:
     rows = tokens.withColumn("n", F.length("token")).withColumn("alphabet", alphabet)
     rows = rows.withColumn("k", F.length("alphabet"))
     rows = rows.withColumn(
-        "v", F.expr("transform(sequence(1, n), i -> locate(substring(token, i, 1), alphabet))")
+        "v", F.expr("transform(slice(split(token, ''), 1, n), x -> locate(x, alphabet))")
     )
     rows = rows.select(
         *[c for c in rows.columns],
         F.expr(
-            "aggregate(array_distinct(v), 0D, (a, x) -> a + power(size(filter(v, y -> y = x)), 2))"
+            # Of sorted characters: a run that grows from c to c + 1 adds 2 c + 1 to the sum of squares.
+            "aggregate(sort_array(v), named_struct('p', -1, 'c', 0D, 's', 0D), (a, x) -> IF(x = a.p, "
+            "named_struct('p', x, 'c', a.c + 1, 's', a.s + 2 * a.c + 1), named_struct('p', x, 'c', 1D, 's', a.s + 1)), a -> a.s)"
         ).alias("squares"),
         F.expr("aggregate(v, 0D, (a, x) -> a + x) / n").alias("mean"),
         F.expr("size(filter(v, x -> x * 2 > k))").cast("double").alias("upper"),
@@ -171,6 +175,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: floa
     base = rows.select("doc_id", "text_hash", base_spans(F.col("text")).alias("base"))
     tested = cut(battery(candidates(rows)))
     found = discoveries(tested, rate).select("doc_id", "text_hash", "start", "end").distinct()
+    found = _apart(found, base)
     found = found.groupBy("doc_id", "text_hash").agg(
         F.collect_list(
             F.struct(F.col("start"), F.lit(KINDS.index("random")).alias("kind"), F.col("end"))
@@ -179,8 +184,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: floa
     found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "more")
     both = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     more = F.coalesce(F.col("more").cast(_SPAN), F.array().cast(_SPAN))
-    new = F.filter(more, lambda m: ~F.exists("base", lambda b: overlaps(m, b)))
-    return both.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", new)).alias("spans"))
+    return both.select("doc_id", "text_hash", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+
+
+def _apart(found: DataFrame, base: DataFrame) -> DataFrame:
+    """The discoveries that no pattern span of their text overlaps: sorted by start, each looks at the
+    furthest end of pattern spans before it and at the next start after."""
+    marks = found.select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
+    fixed = base.join(marks, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    fixed = fixed.select("doc_id", "text_hash", F.explode("base").alias("s"))
+    rows = found.withColumn("fixed", F.lit(False)).unionByName(
+        fixed.select("doc_id", "text_hash", "s.start", "s.end", F.lit(True).alias("fixed"))
+    )
+    own = Window.partitionBy("doc_id", "text_hash").orderBy("start")
+    before = F.max(F.when(F.col("fixed"), F.col("end"))).over(own.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("fixed"), F.col("start"))).over(own.rangeBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("before", before).withColumn("after", after)
+    free = (F.coalesce("before", "start") <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
+    return rows.where(~F.col("fixed") & free).select("doc_id", "text_hash", "start", "end")
 
 
 def joined(spans: str) -> Column:
@@ -219,5 +241,49 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], source.substr((s["at"] + 1).cast("int"), F.length(source)))
-    cleaned = F.when(F.col("__spans").isNull(), source).otherwise(F.aggregate("__spans", zero, step, rest))
+    few = F.aggregate("__spans", zero, step, rest)
+    cleaned = (
+        F.when(F.col("__spans").isNull(), source).when(F.size("__spans") <= FEW, few).otherwise(_cut_out(source, mark))
+    )
     return rows.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
+def _cut_out(source: Column, mark: str) -> Column:
+    """``source`` with ``__spans`` replaced by way of its array of characters, which takes many spans at once.
+
+    Spans are sorted by start; what stays lies between the furthest end so far and the next start.
+    """
+    n = F.length(source)
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.col("__spans.end"))
+    starts = F.concat(F.col("__spans.start"), F.array(n.cast("long")))
+    gaps = F.zip_with(starts, let(ends, _furthest), lambda start, reach: F.struct(start.alias("start"), reach.alias("reach")))
+
+    def kept(chars: Column) -> Column:
+        def piece(gap: Column) -> Column:
+            part = F.slice(chars, (gap["reach"] + 1).cast("int"), (gap["start"] - gap["reach"]).cast("int"))
+            return F.when(gap["start"] >= gap["reach"], F.array_join(part, ""))
+
+        return F.transform(gaps, piece)
+
+    # A gap without text between two overlapping spans is null and joins them under one mark.
+    return F.array_join(let(F.slice(F.split(source, ""), F.lit(1), n), kept), mark)
+
+
+def _furthest(ends: Column) -> Column:
+    """Largest value up to each place, in parts so that no long array is copied for each member."""
+    empty = F.array().cast("array<bigint>")
+
+    def grow(state: Column, end: Column) -> Column:
+        last = F.when(F.size(state) > 0, F.element_at(state, -1))
+        return F.concat(state, F.array(F.greatest(last, end)))
+
+    def joined_up(inside: Column) -> Column:
+        tops = F.aggregate(
+            inside,
+            F.array(F.lit(0).cast("long")),
+            lambda a, part: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.element_at(part, -1)))),
+        )
+        before = F.slice(tops, F.lit(1), F.size(inside))
+        return F.flatten(F.zip_with(inside, before, lambda part, top: F.transform(part, lambda x: F.greatest(x, top))))
+
+    return let(F.transform(parted(ends), lambda part: F.aggregate(part, empty, grow)), joined_up)
