@@ -15,6 +15,8 @@ from basketlab.session import cut
 
 # Rows of the largest group that a window in one task still numbers.
 WINDOW_ROWS = 1_000_000
+# Rows that are sorted to pick one by rank; accuracy of the sketch that brackets a rank.
+SORTED_ROWS, SKETCH = 10_000, 1_000
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -42,6 +44,31 @@ def global_position(df: DataFrame, id_col: str, name: str = "position") -> DataF
     )
 
 
+def nth_smallest(df: DataFrame, id_col: str, n: int) -> int | None:
+    """The ``n``-th smallest of unique, whole ids (from 1), without sorting them.
+
+    A mergeable sketch brackets the rank, the rows below are counted, and the bracket is narrowed the
+    same way until it is small enough to be sorted. Nulls do not count.
+    """
+    low, high, rank = None, None, n
+    rows = df.select(F.col(id_col).cast("long").alias("x")).where("x is not null")
+    while True:
+        inside = rows if low is None else rows.where(F.col("x").between(low, high))
+        count = inside.count()
+        if rank < 1 or rank > count:
+            return None
+        if count <= SORTED_ROWS:
+            return inside.orderBy("x").limit(rank).agg(F.max("x")).first()[0]
+        share = [max(0.0, (rank - 1) / count - 2 / SKETCH), min(1.0, rank / count + 2 / SKETCH)]
+        start, end = inside.agg(F.percentile_approx("x", share, SKETCH)).first()[0]
+        if start == end:
+            return start
+        below = inside.where(F.col("x") < start).count()
+        if not below < rank <= below + inside.where(F.col("x").between(start, end)).count():
+            raise RuntimeError("the sketch missed its bound")
+        low, high, rank = start, end, rank - below
+
+
 def number_in_group(df: DataFrame, key: str, order: str, id_col: str) -> DataFrame:
     """Add ``number`` (1..n by order, id; nulls first), ``previous`` (order value one row earlier), ``total``."""
     largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0

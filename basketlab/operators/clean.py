@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.functions.position import global_position
+from basketlab.functions.position import nth_smallest
 
 DAYS = "days_since_prior_order"
 
 
 def sample_first(orders: DataFrame, fraction: float = 1.0) -> DataFrame:
-    """The first ``int(rows * fraction)`` orders by order_id (1.0 keeps the table as it is)."""
+    """The first ``int(rows * fraction)`` orders by order_id, a key (1.0 keeps the table as it is).
+
+    The last id to keep is found by its rank; the table is filtered, never sorted.
+    """
     if fraction >= 1.0:
         return orders
-    keep = orders.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).scalar()
-    placed = global_position(orders, "order_id", "_position")
-    return placed.where(F.col("_position") < keep).select(*orders.columns)
+    keep = orders.agg(F.floor(F.count(F.lit(1)) * F.lit(fraction))).first()[0]
+    last = nth_smallest(orders, "order_id", keep)
+    return orders.where(F.lit(False) if last is None else F.col("order_id") <= last)
 
 
 def lines_of(lines: DataFrame, orders: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from basketlab.operators import (
     search,
     segment,
 )
+from basketlab.plans import jobs
 from basketlab.plans.workspace import ASKED, AISLE_RULES, DOCUMENT_SEARCHES, PRODUCT_SEARCHES, Workspace
 from basketlab.session import cut, new_folder
 from basketlab.sources import integrity, store, tables
@@ -130,6 +131,65 @@ def sample_order_lines(ws: Workspace) -> DataFrame:
     return clean.lines_of(ws.view.lines, clean.sample_first(ws.view.orders, 0.02))
 
 
+def _damaged_lines(ws: Workspace) -> str:
+    """The orders as CSV lines, some of them damaged: a word for a number, a field too few, no user."""
+    cells = [F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in tables.SCHEMAS["orders"].fields]
+    id_ = F.col("order_id")
+    word = F.concat_ws(",", *cells[:3], F.lit("many"), *cells[4:])
+    short = F.concat_ws(",", *cells[:5])
+    nobody = F.concat_ws(",", cells[0], F.lit(""), *cells[2:])
+    line = F.when(id_ % 97 == 0, word).when(id_ % 89 == 0, short).when(id_ % 83 == 0, nobody).otherwise(F.concat_ws(",", *cells))
+    folder = new_folder(ws.spark, "lines")
+    ws.view.orders.select(line.alias("value")).write.text(folder)
+    return folder
+
+
+@query
+def load_report(ws: Workspace) -> DataFrame:
+    """Lines a checked load rejects, per cause."""
+    _, rejected = tables.read_checked(ws.spark, _damaged_lines(ws), "orders", header=False)
+    return rejected.groupBy("cause").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def loaded_orders(ws: Workspace) -> DataFrame:
+    """Lines read with checks, cast to the schema, written in order of the key and read again."""
+    accepted, _ = tables.read_checked(ws.spark, _damaged_lines(ws), "orders", header=False)
+    folder = new_folder(ws.spark, "loaded")
+    tables.write_sorted(tables.conform(accepted, "orders"), folder)
+    return ws.spark.read.schema(tables.SCHEMAS["orders"]).parquet(folder)
+
+
+@query
+def sorted_sink_report(ws: Workspace) -> DataFrame:
+    """Files of the sorted sink: rows in all, rows out of order within a file, files that overlap."""
+    folder = new_folder(ws.spark, "sorted")
+    tables.write_sorted(ws.view.orders, folder)
+    rows = ws.spark.read.parquet(folder).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), "order_id"
+    )
+    inside = Window.partitionBy("file").orderBy("place")
+    rows = rows.withColumn("falls", F.lag("order_id").over(inside) > F.col("order_id"))
+    files = rows.groupBy("file").agg(
+        F.count("*").alias("n"), F.count_if("falls").alias("falls"), F.min("order_id").alias("low"), F.max("order_id").alias("high")
+    )
+    # One row per file: its least id against the greatest of the files before.
+    before = F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("overlaps", F.coalesce(before >= F.col("low"), F.lit(False)))
+    return files.agg(
+        F.sum("n").alias("n_rows"), F.sum("falls").alias("out_of_order"), F.count_if("overlaps").alias("overlapping_files")
+    )
+
+
+@query
+def cleaned_orders_job(ws: Workspace) -> DataFrame:
+    """Tables loaded in bulk, cleaned by the batch job and read from its output."""
+    source, out = new_folder(ws.spark, "retail"), new_folder(ws.spark, "cleaned")
+    tables.write(ws.stored, source)
+    jobs.clean_orders(ws.spark, source, out)
+    return ws.spark.read.schema(tables.SCHEMAS["orders"]).parquet(f"{out}/orders_cleaned")
+
+
 @query
 def clean_days_per_user(ws: Workspace) -> DataFrame:
     return clean.days_per_user(ws.view.orders)

@@ -820,6 +820,18 @@ def oracle_sql() -> dict[str, str]:
             "AS days_since_prior_order) FROM retail_orders",
             "retail_orders",
         ),
+        "load_report": build(
+            "SELECT CASE WHEN order_id % 97 = 0 OR order_id % 89 = 0 THEN 'malformed' ELSE 'missing value' END AS cause, "
+            "count(*) AS n_lines FROM retail_orders WHERE order_id % 97 = 0 OR order_id % 89 = 0 OR order_id % 83 = 0 GROUP BY 1",
+            "retail_orders",
+        ),
+        "loaded_orders": build(
+            "SELECT * FROM retail_orders WHERE order_id % 97 <> 0 AND order_id % 89 <> 0 AND order_id % 83 <> 0", "retail_orders"
+        ),
+        "sorted_sink_report": build(
+            "SELECT count(*) AS n_rows, 0::BIGINT AS out_of_order, 0::BIGINT AS overlapping_files FROM retail_orders", "retail_orders"
+        ),
+        "cleaned_orders_job": build("SELECT * FROM clean_orders", "clean_orders"),
         "clean_orders_global": build("SELECT * FROM clean_orders", "clean_orders"),
         "clean_orders_report": build(
             "SELECT (SELECT count(*) FROM retail_orders) AS original_rows, (SELECT count(*) FROM "

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlab.session import cut
+
 
 def _schema(*cols: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype, True) for name, dtype in cols])
@@ -39,6 +43,9 @@ SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# Columns that a complete row may lack.
+MAY_BE_NULL = {"days_since_prior_order"}
+
 PRIMARY_KEYS = {
     "aisles": "aisle_id",
     "departments": "department_id",
@@ -70,6 +77,31 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     )
 
 
+def read_checked(spark: SparkSession, path: str, table: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows of a CSV file, and the rejected ones with ``cause`` and the ``line`` as it stood.
+
+    ``malformed``: fields that are too few, too many or not of their type. ``missing value``: no value
+    where the schema needs one. Nothing else is dropped, so both counts add up to the lines read.
+    """
+    schema = T.StructType([*SCHEMAS[table].fields, T.StructField("line", T.StringType())])
+    rows = (
+        spark.read.schema(schema)
+        .option("header", header)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "line")
+        .csv(path)
+    )
+    needed = [f.name for f in SCHEMAS[table].fields if f.name not in MAY_BE_NULL]
+    missing = reduce(or_, [F.col(c).isNull() for c in needed])
+    cause = F.when(F.col("line").isNotNull(), "malformed").when(missing, "missing value")
+    # Parsed once: what a line is rejected for is known only after all its fields were read.
+    checked = cut(rows.withColumn("cause", cause))
+    accepted = checked.where("cause is null").drop("cause", "line")
+    return accepted, checked.where("cause is not null")
+
+
 def read(spark: SparkSession, folder: str, fmt: str = "parquet") -> Retail:
     """All five tables from ``folder/<table>`` (parquet) or ``folder/<table>.csv``."""
     if fmt == "csv":

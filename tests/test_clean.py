@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basketlab.functions import position
-from basketlab.functions.position import global_position, number_in_group
+from basketlab.functions.position import global_position, nth_smallest, number_in_group
 from basketlab.operators import clean
 
 ROWS = "order_id long, user_id long, days_since_prior_order double"
@@ -69,3 +69,16 @@ def test_numbers_equal_a_plain_window_for_hot_users_and_null_dates(spark, monkey
         F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("total"),
     )
     assert values(number_in_group(df, "user_id", "day", "id")) == values(plain)
+
+
+def test_nth_smallest_narrows_brackets(spark, monkeypatch):
+    monkeypatch.setattr(position, "SORTED_ROWS", 20)
+    monkeypatch.setattr(position, "SKETCH", 50)
+    ids = spark.range(5000).selectExpr("CASE WHEN id % 2 = 0 THEN id * id ELSE -id * 1000003 END AS id")
+    plain = sorted(r.id for r in ids.collect())
+    for n in (1, 2, 37, 2500, 4999, 5000):
+        assert nth_smallest(ids, "id", n) == plain[n - 1]
+    assert nth_smallest(ids, "id", 0) is None and nth_smallest(ids, "id", 5001) is None
+    # Filtered, not sorted: no exchange of the table.
+    df = orders(spark, *[(i % 3, 1.0) for i in range(50)])
+    assert "Exchange" not in clean.sample_first(df, 0.3)._jdf.queryExecution().executedPlan().toString()

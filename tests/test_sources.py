@@ -131,3 +131,12 @@ def test_login_streams_equal_batch(spark, ws, tmp_path):
 
 def test_clean_orders_feed_the_models(ws):
     assert clean.orders_global(ws.view.orders).where("days_since_prior_order IS NULL").count() == 0
+
+
+def test_checked_load_keeps_every_line(spark, tmp_path):
+    lines = ["order_id,user_id,eval_set,order_number,order_dow,order_hour_of_day,days_since_prior_order", '1,2,"a ""b"", c",1,2,3,4.5', "2,2,prior,1,2,3,", "x,2,prior,1,2,3,4", "3,2,prior,1,2", "4,,prior,1,2,3,4", "5,2,prior,1,2,3,4,5"]
+    (tmp_path / "orders.csv").write_text("\n".join(lines))
+    good, bad = tables.read_checked(spark, str(tmp_path / "orders.csv"), "orders")
+    assert [(r.order_id, r.eval_set, r.days_since_prior_order) for r in good.orderBy("order_id").collect()] == [(1, 'a "b", c', 4.5), (2, "prior", None)]
+    assert sorted((r.cause, r.line) for r in bad.collect() if r.line) == sorted(("malformed", lines[k]) for k in (3, 4, 6))
+    assert [(r.cause, r.order_id) for r in bad.where("line is null").collect()] == [("missing value", 4)]
