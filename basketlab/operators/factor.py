@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.columns import is_train
-from basketlab.functions.position import global_position
+from basketlab.functions.position import global_position, number_in_group
 from basketlab.functions.topk import top_per_group
 from basketlab.operators import krylov, ranking
 from basketlab.operators.rules_eval import classification
@@ -82,10 +82,9 @@ def _with_group(df: DataFrame, group_col: str | None) -> DataFrame:
 
 
 def item_index(interactions: DataFrame, g: str) -> DataFrame:
-    """Dense 0-based position of each item in its group."""
+    """Dense 0-based position of each item in its group; very many items are numbered by ranges."""
     items = interactions.select(g, "item").distinct()
-    order = Window.partitionBy(g).orderBy("item")
-    return items.withColumn("idx", F.row_number().over(order) - 1)
+    return number_in_group(items, g, "item", "item").select(g, "item", (F.col("number") - 1).alias("idx"))
 
 
 def user_vectors(interactions: DataFrame, index: DataFrame, g: str) -> DataFrame:

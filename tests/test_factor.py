@@ -4,6 +4,7 @@ import pytest
 from helpers import values
 from pyspark.sql import functions as F
 
+from basketlab.functions import position
 from basketlab.functions.columns import is_train
 from basketlab.operators import factor, krylov, ranking
 
@@ -191,3 +192,10 @@ def test_dense_and_lanczos_groups_together(spark, monkeypatch):
     both = factor.fit_svd(data, 4, "grp")
     a, b = (np.array(values(factor.evaluate(m).drop("grp")), float) for m in (whole, both))
     assert np.allclose(a, b, atol=1e-6)
+
+
+def test_items_are_numbered_alike_by_ranges(spark, matrix, monkeypatch):
+    data = interactions(spark, matrix).withColumn("grp", F.col("user_id") % 2)
+    whole = values(factor.item_index(data, "grp"))
+    monkeypatch.setattr(position, "WINDOW_ROWS", 0)
+    assert values(factor.item_index(data, "grp")) == whole
