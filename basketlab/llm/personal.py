@@ -3,13 +3,17 @@
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers, leftmost and
 without overlap per kind; a match that fails its check is dropped without another try.
 
-The field labels tokens between white space. A token without a digit or '@' can only be no part of
-personal data, so the chain falls apart into runs of the other tokens, each decoded exactly by
-Viterbi, many runs at a time. Features are shapes (letters to x or X, digits to d), counts, and the
-shapes and trigger words on both sides. It is trained by gradient ascent on the likelihood of a
-small labelled table (``labelled_table``; any table of its form will do). Labelled tokens become
-spans of the same kinds where no span of a pattern overlaps them: phone numbers without a plus sign,
-addresses written with words, spaced cards and the like.
+The field labels tokens between white space: the first token of a span by its kind, the others by
+the kind and a plus sign. Tokens are decoded within ``NEAR`` tokens of one with a digit or '@', and
+within ``NEAR_SPELLED`` of a spelled-out "dot" or a bracketed "at"; personal data of these kinds
+cannot stand elsewhere. So the chain falls apart into runs, each decoded exactly by Viterbi, many
+runs at a time. Features are shapes (letters to x or X, digits to d), counts, and the shapes and
+telling words on both sides. It is trained by gradient ascent on the likelihood of a small labelled
+table (``labelled_table``: sentences written by hand and sentences of a small grammar; any table of
+its form will do). Labelled tokens become spans of the same kinds; a labelled run is split at the
+tokens a pattern span touches. A plain check of the form follows (``passes``). What this adds: phone
+numbers without a plus sign, addresses written with words or without a top-level domain, IPv6
+addresses, cards with other signs between their groups.
 
 Null and empty texts have no spans. Repeated rows are kept. Extra columns pass through. Offsets are
 code points, ends exclusive.
@@ -17,9 +21,14 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
+import ipaddress
+import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +39,14 @@ from pyspark.sql import types as T
 from basketlab.llm.common import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
+# First tokens of spans, then the tokens that follow them.
+LABELS = ("none", *KINDS, *(f"{k}+" for k in KINDS))
+# Tokens decoded on both sides of one with a digit or '@', and of a spelled-out sign.
+NEAR, NEAR_SPELLED = 2, 5
+# Sentences of the grammar in the built-in table.
+SENTENCES = 700
 # Rows of a training table read at most; more raises an error.
-TRAINING_ROWS = 100_000
+TRAINING_ROWS = 20_000
 
 # The patterns of local part characters, domain, address, card and phone number.
 # Possessive repeats where the next character cannot belong to the repeat: same matches, one pass.
@@ -44,6 +58,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^ \t-\r]+")
 _PART = re.compile(r"[0-9@]")
+_SEED = re.compile(r"[0-9@]|(?<![^ \t-\r])[\[({<]?(?:dot|Dot|DOT)[\])}>]?(?![^ \t-\r])|[\[({<](?:at|At|AT)[\])}>]")
 
 # The small labelled table: spans in brackets after their kind. All of it is invented.
 MARKED = """
@@ -51,6 +66,7 @@ Write to <email ann.lee@mail.example.org> or <email b_77@post.example.net>, plea
 Contact: <email sales+eu@shop.example.com>.
 Mail <email info@example.org>; phone <phone (555) 013-4477>.
 His address is <email j.doe@ localhost> today
+Mail <email ann@mail.example.org>, <email bob@localhost>
 Call <phone +1 (212) 555-0187> before 9 am
 Call <phone (212) 555-0187> before 10
 Phone: <phone 212-555-0142> ext 7
@@ -90,20 +106,172 @@ Model X200-15 with 16 GB
 """
 
 
+# The grammar: sentences with slots, and words around them.
+FRAMES = """
+write to {email} or {email} today
+contact {email} for details
+e-mail : {email}
+mail me at {email} please
+mail {email} , {email} today
+ask {email} and {email} now
+{email} {email}
+copy to {email} ; {email}
+send it to {email} , {email} and {email}
+reach us via {email} or {phone}
+my address is {email} since {year}
+{email} wrote this on {date}
+call {phone} before {n} pm
+phone {phone} or fax {phone}
+tel. {phone}
+telephone number {phone} ext {n}
+mobile : {phone}
+you can ring {phone} on day {n}
+dial {phone} now
+text me on {phone} until {year}
+server {ip} answered in {n} ms
+the host {ip} and {ip} are down
+ping {ip} gave {n} replies
+connect from {ip} to {ip}
+card {card} expires {month}
+paid with {card} on {date}
+card number {card} , code {n}
+charge my visa {card} twice
+order {ref} units
+invoice {ref} of {date}
+part {ref} and item {ref} in stock
+iban {iban} at the bank
+tracking number {ref} was sent on {date}
+serial {long} model {ref}
+version {version} was released in {year}
+see section {version} and table {n} of {year}
+it cost {n} dollars in {year} and {n} percent more in {year}
+chapter {n} , verse {n} , page {n}
+look at table {n} and at figure {n}
+we met at the {w} dot {w} in {year}
+the polka dot {w} at the {w} shop
+the dot product at {n} points
+follow {handle} on the site , {n} stars
+{n} {w} @ {n} each
+score {n} - {n} after {n} minutes
+at {w} they saw {n} {w} and {n} {w}
+from {year} to {year} about {n} cases
+meet at {n} : {n} in room {n}
+key {secret} was revoked in {year}
+{w} {n} {w}
+{w} at {w} dot
+"""
+_PARTS = "ba le mi no ru sa to vi ken dor lin mar pol tan wes yor".split()
+# Endings and hosts of invented addresses.
+_ENDINGS = "com org net edu de fr co.uk info".split()
+_HOSTS = "localhost intranet mailhost corp".split()
+
+
+def _filled(slot: str, rng: random.Random) -> str:
+    """One invented value of a slot of the grammar."""
+
+    def word() -> str:
+        return "".join(rng.choices(_PARTS, k=rng.randint(1, 3)))
+
+    def digits(n: int) -> str:
+        return "".join(rng.choices("0123456789", k=n))
+
+    def pick(*forms: str) -> str:
+        return rng.choice(forms)
+
+    if slot == "w":
+        return word()
+    if slot == "n":
+        return digits(rng.randint(1, 3))
+    if slot == "year":
+        return str(rng.randint(1950, 2035))
+    if slot == "date":
+        return pick(f"2021-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/19{digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}", f"{digits(1)} May")
+    if slot == "month":
+        return f"{digits(2)}/{digits(2)}"
+    if slot == "ref":
+        return pick(f"{digits(3)}-{digits(4)}", digits(rng.randint(4, 9)), f"{word().upper()}-{digits(4)}", f"{digits(4)}-{digits(6)}", f"{digits(2)} {digits(5)}")
+    if slot == "long":
+        return digits(rng.randint(10, 22))
+    if slot == "iban":
+        return pick("DE", "FR", "NL") + digits(2) + "".join(f" {digits(4)}" for _ in range(4)) + f" {digits(2)}"
+    if slot == "version":
+        return ".".join(digits(rng.randint(1, 2)) for _ in range(rng.randint(2, 3)))
+    if slot == "handle":
+        return "@" + word()
+    if slot == "secret":
+        return "".join(rng.choices("0123456789abcdef", k=32))
+    if slot == "email":
+        name = pick(word(), f"{word()}.{word()}", f"{word()}_{digits(2)}", word().capitalize())
+        host, end = word(), rng.choice(_ENDINGS)
+        spelled = end.replace(".", " dot ")
+        return pick(
+            f"{name}@{host}.{end}",
+            f"{name}@{rng.choice(_HOSTS)}",
+            f"{name}@ {host}.{end}",
+            f"{name} @ {host}.{end}",
+            f"{name} at {host} dot {spelled}",
+            f"{name} AT {host} DOT {spelled}",
+            f"{name} (at) {host} (dot) {end}",
+            f"{name} [at] {host} [dot] {end}",
+            f"{name} [at] {host}.{end}",
+            f"{name}(at){host}.{end}",
+        )
+    if slot == "ip":
+        four = [str(rng.randint(0, 255)) for _ in range(4)]
+        six = ["".join(rng.choices("0123456789abcdef", k=rng.randint(1, 4))) for _ in range(8)]
+        cut_at = rng.randint(1, 4)
+        return pick(".".join(four), ".".join(four), ":".join(six), ":".join(six[:cut_at]) + "::" + ":".join(six[cut_at + 3 :]))
+    if slot == "card":
+        body = rng.choice("3456") + digits(14)
+        number = next(body + d for d in "0123456789" if _luhn(body + d))
+        groups = [number[i : i + 4] for i in range(0, 16, 4)]
+        return pick(number, " ".join(groups), "-".join(groups), ".".join(groups), "  ".join(groups), "/".join(groups), " - ".join(groups))
+    if slot == "phone":
+        a, b, c = digits(3), digits(3), digits(4)
+        return pick(
+            f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"{b}-{c}",
+            f"0{digits(2)} {digits(7)}", f"0{digits(3)}-{digits(7)}", f"0{a} {digits(2)} {digits(2)} {digits(2)}", f"({a}) {b} {c}", f"0{a}/{digits(6)}",
+        )
+    raise KeyError(slot)
+
+
+def _tokens_of(text: str, label: str) -> list[tuple[str, str]]:
+    """(token, label) of a part of a sentence."""
+    if label == "none":
+        return [(t, label) for t in text.split()]
+    return [(t, f"{label}+" if k else label) for k, t in enumerate(text.split())]
+
+
+def sentences(n: int, seed: int) -> Iterator[list[tuple[str, str]]]:
+    """``n`` sentences of the grammar as lists of (token, label), the same for the same seed."""
+    rng = random.Random(seed)
+    frames = FRAMES.strip().split("\n")
+    for k in range(n):
+        out = [(_filled("w", rng), "none") for _ in range(rng.randint(0, 3))]
+        for part in frames[k % len(frames)].split():
+            slot = part[1:-1] if part.startswith("{") else ""
+            # A sign that stands alone often follows the token before it.
+            if part in ",:" and out and rng.random() < 0.7:
+                out[-1] = (out[-1][0] + part, out[-1][1])
+            else:
+                text = _filled(slot, rng) if slot else part
+                out += _tokens_of(text.capitalize() if not slot and rng.random() < 0.2 else text, slot if slot in KINDS else "none")
+        if rng.random() < 0.5:
+            out[-1] = (out[-1][0] + rng.choice(".,;!"), out[-1][1])
+            out += [(_filled("w", rng), "none") for _ in range(rng.randint(0, 3))]
+        yield out
+
+
 def labelled_table(spark: SparkSession) -> DataFrame:
     """The built-in training table: one row per token (sequence, position, token, label)."""
-    rows = []
-    for k, line in enumerate(x for x in MARKED.strip().split("\n")):
-        position = 0
+    lines = list(sentences(SENTENCES, seed=1))
+    for line in MARKED.strip().split("\n"):
+        marked = []
         for part in re.split(r"(<\w+ [^>]*>)", line):
-            label, text = "none", part
-            if part.startswith("<"):
-                label, text = part[1:-1].split(" ", 1)
-            for token in text.split():
-                # Signs that stand alone after a span belong to it as in running text.
-                kind = label if re.search(r"[0-9@a-z]", token) or label == "none" else "none"
-                rows.append((k, position, token, kind))
-                position += 1
+            label, text = part[1:-1].split(" ", 1) if part.startswith("<") else ("none", part)
+            marked += _tokens_of(text, label)
+        lines.append(marked)
+    rows = [(k, position, *pair) for k, line in enumerate(lines) for position, pair in enumerate(line)]
     return spark.createDataFrame(rows, "sequence int, position int, token string, label string")
 
 
@@ -117,31 +285,36 @@ _RUN = re.compile(r"(.)\1+", re.S)
 
 def shape(token: str) -> str:
     """Kinds of characters, runs written once; characters past ASCII count as letters."""
-    plain = "".join(c if c < "\x80" else "x" for c in token[:64]) if not token.isascii() else token[:64]
+    plain = token if token.isascii() else _OTHER.sub("x", token)
     return _RUN.sub(r"\1", plain.translate(_SHAPE))
 
 
-def can_be_data(token: str) -> bool:
-    return bool(_PART.search(token))
-
-
-# Words that announce personal data, by the first letters.
-TRIGGERS = ("tel", "phone", "call", "fax", "mobil", "dial", "card", "host", "server", "ip", "mail", "ring", "number")
+# Words that announce personal data or a number of another sort, by the first letters.
+TRIGGERS = (
+    "tel", "phone", "call", "fax", "mobil", "dial", "text", "ring", "reach", "number", "card", "visa", "paid", "charge",
+    "host", "server", "ip", "ping", "from", "mail", "e-mail", "write", "contact", "address", "send",
+    "order", "invoice", "part", "item", "iban", "serial", "track", "version", "section", "page", "table", "key", "id", "isbn",
+)
+# Spelled-out signs.
+_SPELLED = re.compile(r"[\[({<]?(at|dot|@|\.)[\])}>]?", re.I)
 
 
-def _context(token: str | None, side: str) -> list[str]:
+def _context(token: str | None, side: str) -> tuple[str, ...]:
     if token is None:
-        return [f"{side}:edge"]
+        return (f"{side}:edge",)
     low = token.lower()
-    out = [f"{side}:{shape(token)}" if can_be_data(token) else f"{side}:word"]
-    return out + [f"{side}:{t}" for t in TRIGGERS if low.startswith(t)]
+    sign = _SPELLED.fullmatch(token)
+    kind = f"sign={sign[1].lower()}" if sign else shape(token.strip(_SIGNS)) if _PART.search(token) else "word"
+    return (f"{side}:{kind}", *(f"{side}:{t}" for t in TRIGGERS if low.startswith(t)))
 
 
-def token_features(token: str, before: str | None, after: str | None) -> list[str]:
-    core = token.strip(".,;:!?\"'")
+def _own(token: str) -> tuple[str, ...]:
+    core = token.strip(_SIGNS)
     digits = sum(map(core.count, "0123456789"))
-    runs = "-".join(str(min(len(r), 7)) for r in re.findall(r"[0-9]+", core)[:6])
-    out = [
+    runs = "-".join(str(len(r)) for r in re.findall(r"[0-9]+", core))
+    sign = _SPELLED.fullmatch(token)
+    inner = _INNER.search(token)
+    return (
         "bias",
         f"shape={shape(core)}",
         f"digits={min(digits, 20)}",
@@ -149,12 +322,35 @@ def token_features(token: str, before: str | None, after: str | None) -> list[st
         f"letters={bool(re.search('[^0-9@ -?]', core))}",
         f"at={'@' in core}",
         f"dots={min(core.count('.'), 5)}",
+        f"colons={min(core.count(':'), 8)}",
         f"dashes={min(core.count('-'), 5)}",
         f"plus={core.startswith('+')}",
+        f"zero={core.startswith('0')}",
         f"brackets={core.startswith('(')}",
         f"signs={bool(re.search('[/=_#$%:]', core))}",
-    ]
-    return out + _context(before, "before") + _context(after, "after")
+        f"ends={token[-1] in ',;.!?'}",
+        f"sign={sign[1].lower() if sign else ''}",
+        f"inner={bool(inner)}",
+    )
+
+
+_OTHER = re.compile(r"[^\x00-\x7f]")
+_SIGNS = ".,;:!?\"'"
+_INNER = re.compile(r"[^ ][\[({<](?:at|At|AT)[\])}>][^ ]")
+# Features of short tokens are kept, since most of them come again.
+_KEEP = 32
+_context_kept = lru_cache(1 << 16)(_context)
+_own_kept = lru_cache(1 << 16)(_own)
+
+
+def token_features(tokens: list[str], k: int) -> list[str]:
+    """Features of token k: its own, and those of two tokens on each side."""
+    token = tokens[k]
+    out = list((_own_kept if len(token) <= _KEEP else _own)(token))
+    for shift, side in ((-1, "before"), (1, "after"), (-2, "before2"), (2, "after2")):
+        other = tokens[k + shift] if 0 <= k + shift < len(tokens) else None
+        out += (_context_kept if other is None or len(other) <= _KEEP else _context)(other, side)
+    return out
 
 
 class Field:
@@ -177,7 +373,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit(table: DataFrame, steps: int = 250, decay: float = 0.02) -> Field:
+def fit(table: DataFrame, steps: int = 200, decay: float = 0.03) -> Field:
     """Train on a labelled table by full forward-backward gradients with Adam."""
     rows = table.select("sequence", "position", "token", "label").limit(TRAINING_ROWS + 1).collect()
     if len(rows) > TRAINING_ROWS:
@@ -185,38 +381,32 @@ def fit(table: DataFrame, steps: int = 250, decay: float = 0.02) -> Field:
     lines: dict[int, list] = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.sequence, r.position)):
         lines[r.sequence].append((r.token, LABELS.index(r.label)))
-    runs: list[list[tuple[list[str], int]]] = []
+    runs = []
     for line in lines.values():
-        run: list = []
-        for k, (token, label) in enumerate(line):
-            if can_be_data(token):
-                before = line[k - 1][0] if k else None
-                after = line[k + 1][0] if k + 1 < len(line) else None
-                run.append((token_features(token, before, after), label))
-            elif run:
-                runs.append(run)
-                run = []
-        if run:
-            runs.append(run)
+        tokens = [t for t, _ in line]
+        runs.append([(token_features(tokens, k), label) for k, (_, label) in enumerate(line)])
     names: dict[str, int] = {}
     for run in runs:
         for row, _ in run:
             for f in row:
                 names.setdefault(f, len(names))
     n, longest, k = len(runs), max(map(len, runs), default=1), len(LABELS)
-    x = np.zeros((n, longest, len(names)))
     gold = np.zeros((n, longest), int)
     mask = np.zeros((n, longest), bool)
     for i, run in enumerate(runs):
         for j, (row, label) in enumerate(run):
-            x[i, j, [names[f] for f in row]] = 1
             gold[i, j], mask[i, j] = label, True
+    # One row per token, in the order of the mask.
+    x = np.zeros((int(mask.sum()), len(names)), np.float32)
+    for at, row in enumerate(row for run in runs for row, _ in run):
+        x[at, [names[f] for f in row]] = 1
     hot = np.eye(k)[gold] * mask[..., None]
     emit, move = np.zeros((len(names), k)), np.zeros((k, k))
     seen_moves = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:])
     state = [np.zeros_like(w) for w in (emit, emit, move, move)]
     for step in range(1, steps + 1):
-        e = x @ emit
+        e = np.zeros(mask.shape + (k,))
+        e[mask] = x @ emit.astype(np.float32)
         forward, backward = np.zeros_like(e), np.zeros_like(e)
         forward[:, 0] = e[:, 0]
         for t in range(1, longest):
@@ -231,10 +421,8 @@ def fit(table: DataFrame, steps: int = 250, decay: float = 0.02) -> Field:
         for t in range(1, longest):
             pair = forward[:, t - 1, :, None] + move + (e[:, t] + backward[:, t])[:, None, :]
             expected += (np.exp(pair - whole[:, None, None]) * mask[:, t, None, None]).sum(axis=0)
-        slopes = [
-            np.einsum("ntf,ntl->fl", x, hot - share) - decay * emit,
-            seen_moves - expected - decay * move,
-        ]
+        slope = x.T @ (hot - share)[mask].astype(np.float32)
+        slopes = [slope - decay * emit, seen_moves - expected - decay * move]
         for w, g, m, v in ((emit, slopes[0], state[0], state[1]), (move, slopes[1], state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -320,29 +508,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def _runs(text: str) -> Iterator[list[tuple[int, int, list[str]]]]:
-    """Runs of tokens that can be data: (start, end, features) each."""
-    run: list = []
-    last = -1
-    for hit in _PART.finditer(text):
-        if hit.start() < last:
-            continue
-        # The token around the hit, and its neighbours.
+def _runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
+    """Runs of tokens that may be data: (start, end, features) each."""
+    runs: list[list[tuple[int, int]]] = []
+    hit = _SEED.search(text)
+    while hit:
         start = _left(text, hit.start())
         end = _TOKEN.match(text, hit.start()).end()
-        before_end = _skip_left(text, start)
-        before = text[_left(text, before_end - 1) : before_end] if before_end > 0 else None
-        m = _TOKEN.search(text, end)
-        row = (start, end, token_features(text[start:end], before, m[0] if m else None))
-        if run and before_end == run[-1][1]:
-            run.append(row)
-        else:
-            if run:
-                yield run
-            run = [row]
-        last = end
-    if run:
-        yield run
+        reach = NEAR if _PART.search(text, start, end) else NEAR_SPELLED
+        if not runs or start >= runs[-1][-1][1]:
+            runs.append([(start, end)])
+        run = runs[-1]
+        # Tokens on the left that the run lacks, down to the run before, which goes on if they meet.
+        floor = runs[-2][-1][1] if len(runs) > 1 else 0
+        left = [run[0]]
+        for _ in range(reach - bisect_left(run, (start, end))):
+            if (stop := _skip_left(text, left[-1][0])) <= floor:
+                break
+            left.append((_left(text, stop - 1), stop))
+        run[:1] = reversed(left)
+        if len(runs) > 1 and _skip_left(text, run[0][0]) <= floor:
+            runs[-2] += runs.pop()
+        # Tokens on the right, past what the run holds already.
+        at = end
+        for _ in range(reach):
+            m = _TOKEN.search(text, at)
+            if not m:
+                break
+            at = m.end()
+            if at > runs[-1][-1][1]:
+                runs[-1].append(m.span())
+        hit = _SEED.search(text, end)
+    return [_featured(text, run) for run in runs]
+
+
+def _featured(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
+    """A run with its features; those at the ends see two tokens beyond it."""
+    tokens = [text[a:b] for a, b in run]
+    before: list[str] = []
+    at = run[0][0]
+    while len(before) < 2 and (stop := _skip_left(text, at)) > 0:
+        at = _left(text, stop - 1)
+        before.append(text[at:stop])
+    after: list[str] = []
+    at = run[-1][1]
+    while len(after) < 2 and (m := _TOKEN.search(text, at)):
+        after.append(m[0])
+        at = m.end()
+    around = before[::-1] + tokens + after
+    return [(a, b, token_features(around, k + len(before))) for k, (a, b) in enumerate(run)]
 
 
 _SPACE = frozenset(" \t\n\x0b\x0c\r")
@@ -360,6 +574,56 @@ def _skip_left(text: str, at: int) -> int:
     return at
 
 
+# A local part, an at sign, a host, and any more parts of it; signs may be spelled out.
+_ADDRESS = re.compile(
+    r"[^\s@]*[A-Za-z0-9][^\s@]*?\s*(?:@|[\[({<]at[\])}>]|(?<=\s)at(?=\s))\s*[A-Za-z][A-Za-z0-9-]*"
+    r"(?:\s*(?:\.|[\[({<]dot[\])}>]|(?<=\s)dot(?=\s))\s*[A-Za-z0-9-]+)*",
+    re.I,
+)
+# An address is at most 64 + 1 + 255 characters long, the other kinds are shorter.
+_LONGEST = 320
+
+
+def passes(text: str, kind: int) -> bool:
+    """Whether a span of the field has the form of its kind."""
+    if len(text) > _LONGEST:
+        return False
+    digits = "".join(c for c in text if c in "0123456789")
+    if kind == 0:
+        # A bare "at" needs a dot after it, an at sign of any form does not.
+        return bool(re.search(r"@|[\[({<]at[\])}>]|\sat\s.*(?:\.|\sdot\s|[\[({<]dot[\])}>])", text, re.I) and _ADDRESS.fullmatch(text))
+    if kind == 1:
+        try:
+            return bool(ipaddress.ip_address(text))
+        except ValueError:
+            return False
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and _luhn(digits) and not re.search("[A-Za-z]", text)
+    return 7 <= len(digits) <= 15 and not re.search("[A-Za-z]", text)
+
+
+def _pieces(run: list[tuple], labels: np.ndarray, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of labelled tokens in a row, split where a pattern span touches a token."""
+    starts = [s for s, _, _ in base]
+    # Pattern spans of different kinds may overlap, so the furthest end so far decides.
+    ends = list(accumulate((e for _, e, _ in base), max))
+    first, kind, last = -1, -1, -1
+    for (start, end, _), label in zip(run, labels):
+        here = bisect_left(starts, end)
+        touched = here > 0 and ends[here - 1] > start
+        begins = 0 < label <= len(KINDS)
+        now = (label - 1) % len(KINDS) if label and not touched else -1
+        if first >= 0 and (now != kind or begins):
+            yield first, last, kind
+            first = -1
+        if now >= 0:
+            if first < 0:
+                first, kind = start, now
+            last = end
+    if first >= 0:
+        yield first, last, kind
+
+
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """Spans of the field that overlap no span of a pattern."""
     places, rows = [], []
@@ -369,21 +633,15 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], field
             rows.append(field.scores([r[2] for r in run]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (k, run), labels in zip(places, viterbi(rows, field.move)):
-        j = 0
-        while j < len(run):
-            label, first = labels[j], j
-            while j + 1 < len(run) and labels[j + 1] == label:
-                j += 1
-            j += 1
-            if not label:
-                continue
-            start, end = run[first][0], run[j - 1][1]
+        if not labels.any():
+            continue
+        for start, end, kind in _pieces(run, labels, bases[k]):
             raw = texts[k][start:end]
-            core = raw.rstrip(".,;:!?\"'")
+            core = raw.rstrip(_SIGNS)
             end -= len(raw) - len(core)
-            start += len(core) - len(core.lstrip(".,;:!?\"'"))
-            if start < end and not any(s < end and start < e for s, e, _ in bases[k]):
-                out[k].append((start, end, label - 1))
+            start += len(core) - len(core.lstrip(_SIGNS))
+            if start < end and passes(texts[k][start:end], kind):
+                out[k].append((start, end, kind))
     return out
 
 
