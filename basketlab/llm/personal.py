@@ -528,7 +528,8 @@ def _runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
             left.append((_left(text, stop - 1), stop))
         run[:1] = reversed(left)
         if len(runs) > 1 and _skip_left(text, run[0][0]) <= floor:
-            runs[-2] += runs.pop()
+            last = runs.pop()
+            runs[-1].extend(last)
         # Tokens on the right, past what the run holds already.
         at = end
         for _ in range(reach):
