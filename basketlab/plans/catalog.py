@@ -18,6 +18,7 @@ from basketlab.operators import (
     profile,
     ranking,
     recommend,
+    restricted,
     rules_eval,
     search,
     segment,
@@ -621,6 +622,14 @@ def cluster_svd_recommend_aisles(ws: Workspace) -> DataFrame:
     return _scores(recommend.cluster_first(own, ws.svd_aisles), "aisle_id", "cluster_specific")
 
 
+@query
+def svd_recommend_own_aisles(ws: Workspace) -> DataFrame:
+    """Lists from the model of the user's segment on the ten aisles the base model puts first."""
+    base = factor.recommend(ws.aisle_svd_rank10, restricted.LIST_LENGTH)
+    own = restricted.recommend(base, ws.user_clusters, ws.aisle_counts, 5)
+    return _scores(recommend.cluster_first(own, base.where("rank <= 5")), "aisle_id", "cluster_specific")
+
+
 @query
 def svd_recommend_products(ws: Workspace) -> DataFrame:
     return _scores(factor.recommend(ws.product_svd, 9), "product_id", "cluster")

@@ -487,6 +487,14 @@ cte(
     "rank10",
     "SELECT user_id, sqrt(greatest(sum(value * r), 0)) AS length FROM rank10 JOIN aisle_counts USING (user_id, item) GROUP BY 1",
 )
+cte(
+    "own_ranked",
+    "rank10_list aisle_counts seg",
+    "SELECT user_id, item, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS INTEGER) AS rank "
+    "FROM (SELECT user_id, item, CAST(coalesce(value, 0) AS DOUBLE) AS score, count(value) OVER (PARTITION BY user_id) AS known "
+    "FROM (SELECT user_id, item FROM rank10_list WHERE rank <= 10) LEFT JOIN aisle_counts USING (user_id, item) "
+    "WHERE user_id IN (SELECT user_id FROM seg)) WHERE known > 0",
+)
 cte("held_truth", "aisle_counts", f"SELECT user_id, item FROM aisle_counts WHERE value > 0 AND NOT {train('user_id')}")
 cte("held_scored", "rank10_list", f"SELECT * FROM rank10_list WHERE NOT {train('user_id')}")
 cte(
@@ -961,6 +969,13 @@ def oracle_sql() -> dict[str, str]:
         "svd_recommend_aisles_rank10": build(
             "SELECT user_id, item AS aisle_id, round(score, 6) AS score, rank FROM rank10_list WHERE rank <= 5", "rank10_list"
         ),
+        # On ten aisles the model keeps every component, so a user's row projects onto itself.
+        "svd_recommend_own_aisles": build(
+            "SELECT user_id, item AS aisle_id, true AS cluster_specific, round(score, 6) AS score, rank FROM own_ranked WHERE rank <= 5 "
+            "UNION ALL SELECT user_id, item, false, round(score, 6), rank FROM rank10_list "
+            "WHERE rank <= 5 AND user_id NOT IN (SELECT user_id FROM own_ranked)",
+            "own_ranked",
+        ),
         "svd_metrics_rank10": svd_metrics_rank10_sql(),
         "user_factors": build("SELECT DISTINCT user_id, 1.0::DOUBLE AS norm FROM aisle_counts", "aisle_counts"),
         "svd_metrics": build(
