@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import chain
 from operator import add
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlab.operators import lloyd
 from basketlab.session import cut, local_table
 
-# Users per task while fitting.
-ROWS_PER_PARTITION = 100_000
-
 FEATURES = ("recency", "frequency", "monetary")
 
 # Segment texts by segment number, long form and card form.
@@ -95,37 +89,8 @@ def assign(
     return scaled.withColumn("cluster", F.array_min(choices).getField("cluster"))
 
 
-def _vectors(scaled: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    inputs = [f"{c}_scaled" for c in columns]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled)
-
-
-def _fit_all(vectors: DataFrame, ks: range, n_init: int, seed: int, parallelism: int) -> dict:
-    """Lowest-cost model of ``n_init`` restarts for each k; jobs are submitted side by side."""
-
-    def run(task: tuple[int, int]):
-        k, i = task
-        # Stop when all centres together move by less than 1e-4 (squared), on unit-variance data.
-        return k, KMeans(k=k, seed=seed + i, maxIter=300, tol=math.sqrt(1e-4 / k)).fit(vectors)
-
-    tasks = [(k, i) for k in ks for i in range(n_init)]
-    best: dict = {}
-    with ThreadPoolExecutor(parallelism) as pool:
-        for k, model in pool.map(run, tasks):
-            kept = best.get(k)
-            if kept is None or model.summary.trainingCost < kept.summary.trainingCost:
-                best[k] = model
-    return best
-
-
-def _training_rows(scaled: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Written once, then cached in partitions of a useful size: each fit scans them many times."""
-    rows = cut(scaled)
-    parts = max(1, -(-rows.count() // ROWS_PER_PARTITION))
-    vectors = _vectors(rows, columns)
-    if parts < vectors.rdd.getNumPartitions():
-        vectors = vectors.coalesce(parts)
-    return vectors.persist()
+def _names(columns: tuple[str, ...]) -> list[str]:
+    return [f"{c}_scaled" for c in columns]
 
 
 def elbow(
@@ -134,16 +99,11 @@ def elbow(
     n_init: int = 10,
     seed: int = 42,
     columns: tuple[str, ...] = FEATURES,
-    parallelism: int = 8,
+    id_col: str = "user_id",
 ) -> DataFrame:
     """(k, wcss) for each k, the best of ``n_init`` restarts."""
-    vectors = _training_rows(scaled, columns)
-    try:
-        best = _fit_all(vectors, ks, n_init, seed, parallelism)
-        costs = [(k, float(best[k].summary.trainingCost)) for k in ks]
-    finally:
-        vectors.unpersist()
-    return local_table(scaled.sparkSession, costs, "k int,wcss double")
+    best = lloyd.fit_all(scaled, _names(columns), id_col, ks, n_init, seed)
+    return local_table(scaled.sparkSession, [(k, cost) for k, (cost, _) in best.items()], "k int,wcss double")
 
 
 def fit(
@@ -152,16 +112,15 @@ def fit(
     n_init: int = 10,
     seed: int = 42,
     columns: tuple[str, ...] = FEATURES,
-    parallelism: int = 8,
+    id_col: str = "user_id",
 ) -> DataFrame:
     """Input rows plus ``cluster``, numbered so that the segment texts fit."""
-    vectors = _training_rows(scaled, columns)
-    try:
-        model = _fit_all(vectors, range(k, k + 1), n_init, seed, parallelism)[k]
-        labelled = model.transform(vectors).drop("features").withColumnRenamed("prediction", "_raw")
-        means = labelled.groupBy("_raw").agg(*[F.avg(c).alias(c) for c in columns]).collect()
-    finally:
-        vectors.unpersist()
+    rows = cut(scaled)
+    best = lloyd.fit_all(rows, _names(columns), id_col, range(k, k + 1), n_init, seed)
+    if not best:
+        return rows.withColumn("cluster", F.lit(0))
+    labelled = rows.withColumn("_raw", lloyd.nearest(_names(columns), best[k][1]))
+    means = labelled.groupBy("_raw").agg(*[F.avg(c).alias(c) for c in columns]).collect()
     numbers = canonical_numbers({m["_raw"]: {c: m[c] for c in columns} for m in means})
     mapping = F.create_map(*[F.lit(x) for x in chain.from_iterable(numbers.items())])
     return labelled.withColumn("cluster", mapping[F.col("_raw")]).drop("_raw")

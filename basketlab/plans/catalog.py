@@ -277,7 +277,7 @@ def segment_balance(ws: Workspace) -> DataFrame:
 
 @query
 def elbow_wcss(ws: Workspace) -> DataFrame:
-    return segment.elbow(ws.scaled)
+    return segment.elbow(ws.scaled).select("k", *rounded("wcss", digits=4))
 
 
 @query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basketlab.functions.columns import HASH_MODULUS, HASH_MULTIPLIER, HASH_SEED_MULTIPLIER
+from basketlab.operators import lloyd
 from basketlab.operators.recommend import CLUSTER_WEIGHTS, OTHER_WEIGHTS
 from basketlab.operators.segment import CARD_DESCRIPTIONS, DESCRIPTIONS
 from basketlab.plans.workspace import (
@@ -19,7 +20,7 @@ from basketlab.plans.workspace import (
 # name -> (names it builds on, SELECT text)
 CTES: dict[str, tuple[list[str], str]] = {}
 # Those that refer to themselves.
-RECURSIVE = {"rotated"}
+RECURSIVE = {"rotated", "races", "steps"}
 
 
 def cte(name: str, needs: str, sql: str) -> None:
@@ -504,6 +505,80 @@ cte(
     f"WHERE NOT {train('user_id')}",
 )
 
+# --- k-means: whole numbers on a grid, starts by exponential races, steps until no centre moves ---
+RESTARTS, KMEANS_SEED = 10, 42
+cte(
+    "points",
+    "scaled",
+    f"SELECT x, y, z, min(user_id) AS id, count(*) AS w FROM (SELECT user_id, CAST(round(recency_scaled * {lloyd.GRID}) AS BIGINT) AS x, "
+    f"CAST(round(frequency_scaled * {lloyd.GRID}) AS BIGINT) AS y, CAST(round(monetary_scaled * {lloyd.GRID}) AS BIGINT) AS z FROM scaled) "
+    "GROUP BY ALL",
+)
+_KEY = (
+    f"CASE WHEN far > 0 THEN -ln((((id % 2147483648) * {HASH_MULTIPLIER} + ({KMEANS_SEED} + 1000 * r + step) * {HASH_SEED_MULTIPLIER}) "
+    f"% {HASH_MODULUS} + 0.5::DOUBLE) / {HASH_MODULUS}) / (w * far::DOUBLE) END"
+)
+cte(
+    "races",
+    "points",
+    f"""SELECT 0 AS step, CAST(r AS BIGINT) AS r, id, w, x, y, z, CAST(1 AS BIGINT) AS far, CAST(NULL AS BIGINT) AS cx,
+      CAST(NULL AS BIGINT) AS cy, CAST(NULL AS BIGINT) AS cz FROM points, range({RESTARTS}) AS t(r)
+    UNION ALL
+    SELECT step + 1, r, id, w, x, y, z,
+      least(CASE WHEN step > 0 THEN far END, (x - best.x) * (x - best.x) + (y - best.y) * (y - best.y) + (z - best.z) * (z - best.z)),
+      best.x, best.y, best.z
+    FROM (SELECT *, first_value(CASE WHEN key IS NOT NULL THEN {{'x': x, 'y': y, 'z': z}} END)
+            OVER (PARTITION BY r ORDER BY key NULLS LAST, id) AS best FROM (SELECT *, {_KEY} AS key FROM races WHERE step < 9))""",
+)
+cte(
+    "starts",
+    "races",
+    "SELECT DISTINCT r, step, k, CAST(step - 1 AS BIGINT) AS c, cx, cy, cz FROM races, range(2, 10) AS t(k) WHERE cx IS NOT NULL AND step <= k",
+)
+_NEAREST = "min(((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) * 16 + c)"
+cte(
+    "steps",
+    "starts points",
+    f"""SELECT 0 AS t, r, k, c, cx, cy, cz FROM starts
+    UNION ALL
+    SELECT t, r, k, c, nx, ny, nz FROM (
+      SELECT *, bool_or(nx <> cx OR ny <> cy OR nz <> cz) OVER (PARTITION BY r, k) AS moved FROM (
+        SELECT o.t + 1 AS t, o.r, o.k, o.c, o.cx, o.cy, o.cz, coalesce(nx, cx) AS nx, coalesce(ny, cy) AS ny, coalesce(nz, cz) AS nz
+        FROM steps o LEFT JOIN (
+          SELECT r, k, near % 16 AS c, CAST(floor(sum(w * x)::DOUBLE / sum(w) + 0.5) AS BIGINT) AS nx,
+            CAST(floor(sum(w * y)::DOUBLE / sum(w) + 0.5) AS BIGINT) AS ny, CAST(floor(sum(w * z)::DOUBLE / sum(w) + 0.5) AS BIGINT) AS nz
+          FROM (SELECT r, k, id, w, x, y, z, {_NEAREST} AS near FROM points, steps GROUP BY r, k, id, w, x, y, z) GROUP BY ALL
+        ) n ON n.r = o.r AND n.k = o.k AND n.c = o.c)) WHERE moved AND t <= {lloyd.MAX_STEPS}""",
+)
+cte("settled", "steps", "SELECT * FROM steps QUALIFY t = max(t) OVER (PARTITION BY r, k)")
+cte(
+    "costs",
+    "settled points",
+    "SELECT r, k, sum(w * (near // 16)::DOUBLE) / 1e12 AS wcss "
+    f"FROM (SELECT r, k, id, w, {_NEAREST} AS near FROM points, settled GROUP BY r, k, id, w) GROUP BY r, k "
+    "QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(wcss, 6), r) = 1",
+)
+cte(
+    "raw_segments",
+    "settled costs points scaled",
+    "SELECT user_id, recency, frequency, monetary, near % 16 AS c FROM (SELECT *, "
+    + ", ".join(f"CAST(round({f}_scaled * {lloyd.GRID}) AS BIGINT) AS {a}" for f, a in (("recency", "x"), ("frequency", "y"), ("monetary", "z")))
+    + f" FROM scaled) JOIN (SELECT x, y, z, {_NEAREST} AS near FROM points, settled "
+    "WHERE k = 4 AND r = (SELECT r FROM costs WHERE k = 4) GROUP BY ALL) USING (x, y, z)",
+)
+cte(
+    "raw_means",
+    "raw_segments",
+    "SELECT c, avg(recency) AS recency, avg(frequency) AS frequency, avg(monetary) AS monetary FROM raw_segments GROUP BY c",
+)
+cte("spenders", "raw_means", "SELECT c FROM raw_means ORDER BY monetary DESC, c LIMIT 1")
+cte("lapsed", "raw_means spenders", "SELECT c FROM raw_means WHERE c NOT IN (FROM spenders) ORDER BY recency DESC, c LIMIT 1")
+cte(
+    "frequent",
+    "raw_means spenders lapsed",
+    "SELECT c FROM raw_means WHERE c NOT IN (FROM spenders) AND c NOT IN (FROM lapsed) ORDER BY frequency DESC, c LIMIT 1",
+)
+
 # --- customer pages -----------------------------------------------------------------------
 
 
@@ -949,6 +1024,12 @@ def oracle_sql() -> dict[str, str]:
             "least(9, count(DISTINCT item)) AS n_rows, true AS scores_fall FROM product_ratings GROUP BY cluster",
             "product_ratings",
         ),
+        "elbow_wcss": build("SELECT CAST(k AS INTEGER) AS k, round(wcss, 4) AS wcss FROM costs", "costs"),
+        "segment_users": build(
+            "SELECT user_id, CAST(CASE WHEN c IN (FROM spenders) THEN 2 WHEN c IN (FROM lapsed) THEN 1 "
+            "WHEN c IN (FROM frequent) THEN 0 ELSE 3 END AS INTEGER) AS cluster FROM raw_segments",
+            "raw_segments spenders lapsed frequent",
+        ),
         "segment_balance": build(
             "SELECT least(4, count(*)) AS segments, count(*) AS n_users, round(sum(recency_scaled * recency_scaled "
             "+ frequency_scaled * frequency_scaled + monetary_scaled * monetary_scaled), 4) AS scatter FROM scaled",

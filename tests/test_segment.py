@@ -1,6 +1,8 @@
+import numpy as np
 from helpers import values
+from pyspark.sql import functions as F
 
-from basketlab.operators import segment
+from basketlab.operators import lloyd, segment
 
 
 def test_rfm_leaves_out_users_without_lines(spark):
@@ -51,3 +53,41 @@ def test_elbow_falls_and_fit_labels_everyone(ws):
     assert labelled.count() == ws.rfm.count()
     means = {r.cluster: r.monetary for r in segment.means(labelled).collect()}
     assert set(means) == {0, 1, 2, 3} and means[2] == max(means.values())
+
+
+SCALED = "user_id long, recency double, frequency double, monetary double, recency_scaled double, frequency_scaled double, monetary_scaled double"
+
+
+def frame(spark, points):
+    return spark.createDataFrame([(u, *map(float, p), *map(float, p)) for u, p in enumerate(points)], SCALED)
+
+
+def test_fitted_centres_are_means_of_their_users(spark):
+    rng = np.random.default_rng(2)
+    points = np.round(np.concatenate([rng.normal(m, 0.3, (60, 3)) for m in (-3, 0, 2, 6)]), 3)
+    names = [f"{c}_scaled" for c in segment.FEATURES]
+    df = frame(spark, points)
+    best = lloyd.fit_all(df, names, "user_id", range(2, 6), 5, 7)
+    for k, (cost, centres) in best.items():
+        grid = np.round(points * lloyd.GRID)
+        far = ((grid[:, None] - centres[None]) ** 2).sum(2)
+        mine = far.argmin(1)
+        assert len(centres) == k and np.isclose(cost, far.min(1).sum() / lloyd.GRID**2)
+        for c in range(k):
+            assert np.abs(grid[mine == c].mean(0) - centres[c]).max() <= 1
+    # The four groups are found, whatever the order and the partitions of the rows.
+    assert np.isclose(best[4][0], sum(((p - p.mean(0)) ** 2).sum() for p in points.reshape(4, 60, 3)), rtol=1e-4)
+    again = lloyd.fit_all(df.orderBy(F.rand(3)).repartition(5), names, "user_id", range(2, 6), 5, 7)
+    assert all((again[k][1] == centres).all() for k, (_, centres) in best.items())
+    # A hot point weighs as its rows do.
+    heavy = frame(spark, [(0, 0, 0)] * 500 + [(1, 1, 1)] * 3 + [(9, 9, 9)] * 2)
+    cost, centres = lloyd.fit_all(heavy, names, "user_id", range(2, 3), 4, 1)[2]
+    assert np.isclose(cost, 3 * 500 * 3 / 503, atol=1e-3) and sorted(centres[:, 0])[1] == 9 * lloyd.GRID
+
+
+def test_fit_with_few_or_no_points(spark):
+    assert segment.fit(frame(spark, [(1, 2, 3)]).limit(0)).count() == 0
+    assert segment.elbow(frame(spark, [(1, 2, 3)]).limit(0)).count() == 0
+    assert {r.cluster for r in segment.fit(frame(spark, [(1, 2, 3)] * 3)).collect()} == {2}
+    labelled = segment.fit(frame(spark, [(1, 2, 3), (1, 2, 3), (5, 5, 5)])).collect()
+    assert len(labelled) == 3 and len({r.cluster for r in labelled}) == 2
