@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from basketlab.functions.text import keep, raw_tokens
 from basketlab.functions.topk import top_per_group
-from basketlab.session import cut
+from basketlab.session import cut, new_folder
 
 # Share of text similarity and of the recommender in the combined score.
 TEXT_WEIGHT = 0.7
 SVD_WEIGHT = 0.3
 SVD_LIST = 1000
+# Layout of a stored index: weights per bucket of terms, and buckets at most.
+POSTINGS_PER_BUCKET = 2_000_000
+MOST_BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -22,6 +25,7 @@ class TextIndex:
     terms: DataFrame  # term, df, idf
     weights: DataFrame  # doc_id, term, weight (unit length per document)
     stop_words: list[str] | None
+    buckets: int | None = None  # the weights are laid out by term in this many buckets
 
 
 def product_text(star: DataFrame) -> DataFrame:
@@ -57,9 +61,37 @@ def fit(docs: DataFrame, stop_words: list[str] | None = None) -> TextIndex:
     return TextIndex(terms, weights, stop_words)
 
 
-def stored(index: TextIndex) -> TextIndex:
-    """The index as written tables, to be searched many times."""
-    return TextIndex(cut(index.terms), cut(index.weights), index.stop_words)
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def stored(index: TextIndex, buckets: int | None = None) -> TextIndex:
+    """The index as written tables, to be searched many times.
+
+    The weights lie in a folder per bucket of terms, sorted by term in each file, so a search reads
+    the buckets of its terms only. There is a bucket per POSTINGS_PER_BUCKET weights, unless
+    ``buckets`` says otherwise. A frequent term spreads over several files of its bucket.
+    """
+    terms = cut(index.terms)
+    if buckets is None:
+        postings = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        buckets = min(MOST_BUCKETS, 1 + int(postings) // POSTINGS_PER_BUCKET)
+    if buckets == 1:
+        return TextIndex(terms, cut(index.weights), index.stop_words)
+    spark = terms.sparkSession
+    laid = index.weights.withColumn("bucket", _bucket(buckets))
+    path = new_folder(spark, "postings")
+    laid.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    weights = spark.read.schema(laid.schema).parquet(path)
+    return TextIndex(terms, weights, index.stop_words, buckets)
+
+
+def postings(index: TextIndex, wanted: DataFrame) -> DataFrame:
+    """Weights that hold those of the terms in ``wanted``: the bucket numbers are at most MOST_BUCKETS."""
+    if index.buckets is None:
+        return index.weights
+    numbers = wanted.agg(F.collect_set(_bucket(index.buckets))).first()[0]
+    return index.weights.where(F.col("bucket").isin(numbers) if numbers else F.lit(False)).drop("bucket")
 
 
 def scores(index: TextIndex, queries: DataFrame) -> DataFrame:
@@ -73,8 +105,11 @@ def scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
     wanted = raw.select("query_id", "term", (F.col("raw") / norm).alias("q"))
+    if index.buckets is not None:
+        wanted = cut(wanted)
     return (
-        index.weights.join(wanted, "term")
+        postings(index, wanted)
+        .join(wanted, "term")
         .groupBy("query_id", "doc_id")
         .agg(F.sum(F.col("q") * F.col("weight")).alias("nlp_score"))
     )

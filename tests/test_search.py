@@ -66,3 +66,27 @@ def test_results_by_aisle(spark):
     assert values(rows, "product_id", "previously_bought") == [(1, False), (2, True), (3, False)]
     got = {r.aisle: (r.n_products, r.product_names, r.department) for r in search.by_aisle(rows).collect()}
     assert got == {"gems": (2, ["ring", "big ring"], "luxury"), "tools": (1, ["bolt"], "diy")}
+
+
+def test_index_by_term_reads_the_buckets_of_its_terms(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    docs = spark.createDataFrame(
+        [(d, " ".join(["common", *(words[(d * k) % 300] for k in range(1, 6))])) for d in range(400)], DOC
+    )
+    plain = search.stored(search.fit(docs))
+    laid = search.stored(search.fit(docs), buckets=32)
+    assert plain.buckets is None and laid.buckets == 32
+    columns = ("doc_id", "term", "weight")
+    assert values(laid.weights, *columns) == values(plain.weights, *columns)
+    asked = spark.createDataFrame([(1, f"{words[7]} {words[8]}"), (2, "common nothing"), (3, "unheard"), (4, "")], ASK)
+    got, want = (values(search.query(i, docs, asked, 5)) for i in (laid, plain))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and len(got) == 20
+    # Two terms lie in two buckets at most, and other folders are not listed for the scan.
+    terms = spark.createDataFrame([(words[7],), (words[8],)], "term string")
+    read = search.postings(laid, terms)
+    plan = read._jdf.queryExecution().executedPlan()
+    read.collect()
+    folders = {r[0].split("bucket=")[1].split("/")[0] for r in read.select(F.input_file_name()).distinct().collect()}
+    assert 1 <= len(folders) <= 2 and "PartitionFilters: [" in plan.toString() and "bucket" in plan.toString()
+    assert read.count() < laid.weights.count() / 4
+    assert search.postings(laid, terms.limit(0)).count() == 0
