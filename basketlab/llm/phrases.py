@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +181,20 @@ def _walk(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBatch]:
         yield emit(np.empty(0, np.uint64))
 
 
+def _in_ranges(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """``rows`` with ``bucket``: ranges of doc_id in descending order, rows without an id last.
+
+    The bounds are searched by halves in the JVM and are no literals of the plan.
+    """
+    if not cuts:
+        return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), 1).otherwise(0))
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_id", outputCol="_range", handleInvalid="keep")
+    known = F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))
+    ranged = split.transform(rows.withColumn("_id", known))
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - F.col("_range")).cast("int")
+    return ranged.select(*rows.columns, bucket.alias("bucket"))
+
+
 def neighbour_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint of each text, of its edited copy, and its likeness to that and to the next one."""
     spark = docs.sparkSession
@@ -187,29 +203,23 @@ def neighbour_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     cuts = rows.where("doc_id is not null").approxQuantile(
         "doc_id", [k / ranges for k in range(1, ranges)], 0.25 / ranges
     )
-    cuts = sorted({int(c) for c in cuts})
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    below = F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))
-    # Ranges in descending order; rows without an id are the last range.
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - below)
-    rows = rows.withColumn("bucket", bucket.cast("int"))
+    rows = _in_ranges(rows, sorted({float(c) for c in cuts}))
     heads = {r.bucket: r.top for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(heads)
-    # Each range's first row also goes, as a sentinel, to the range before it.
-    pairs = [F.struct(F.lit(b).alias("bucket"), F.lit(order[k - 1]).alias("to")) for k, b in enumerate(order)]
-    tops = F.array(*[F.lit(heads[b]).cast("long") for b in order]) if order else F.array().cast("array<bigint>")
-    if not order:
-        pairs = [F.struct(F.lit(0).alias("bucket"), F.lit(0).alias("to"))]
-    found = F.element_at(F.filter(F.array(*pairs), lambda p: p["bucket"] == F.col("bucket")), 1)
-    is_top = F.exists(tops, lambda t: t == F.col("doc_id")) | F.col("doc_id").isNull()
-    copies = F.when(
-        is_top,
-        F.array(
-            F.struct(F.col("bucket"), F.lit(0).alias("sentinel")),
-            F.struct(found["to"].alias("bucket"), F.lit(1).alias("sentinel")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("sentinel"))))
-    dealt = rows.select("doc_id", "text", F.inline(copies))
+    # The first row of each range but the first also goes, as a sentinel, to the range before it
+    # (that of the first to the last, whose last document it follows). One row per range.
+    marks = spark.createDataFrame(
+        [(b, heads[b], order[k - 1]) for k, b in enumerate(order)], "bucket int, top long, to int"
+    )
+    entry = F.struct(F.xxhash64("text").alias("h"), "text")
+    sentinels = (
+        rows.join(F.broadcast(marks), "bucket")
+        .where(F.col("doc_id").eqNullSafe(F.col("top")))
+        .groupBy("to", "doc_id")
+        .agg(F.min(entry).alias("first"))
+        .select("doc_id", F.col("first.text").alias("text"), F.col("to").alias("bucket"), F.lit(1).alias("sentinel"))
+    )
+    dealt = rows.select("doc_id", "text", "bucket", F.lit(0).alias("sentinel")).unionByName(sentinels)
     partitions = max(1, -(-ranges // RANGES))
     dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions(
         "bucket", "sentinel", F.desc_nulls_last("doc_id"), F.xxhash64("text"), "text"

@@ -83,3 +83,26 @@ def test_more_rows_than_a_batch_of_results(docs_of):
         assert report(df) == brute(rows)
     finally:
         df.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_many_ranges(docs_of):
+    """With a thousand shuffle partitions there is a range per document or two; hot ids stay one row per sentinel."""
+    rng = random.Random(4)
+    rows = [(i * 3 - 200, f"text {i} " * rng.randint(0, 5)) for i in range(400)]
+    df = docs_of(rows)
+    df.sparkSession.conf.set("spark.sql.shuffle.partitions", "1000")
+    df.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        assert report(df) == brute(rows)
+    finally:
+        df.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
+        df.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+
+
+def test_hot_and_null_ids_in_the_ring(docs_of):
+    rows = [(7, f"same id {i}") for i in range(60)] + [(None, f"no id {i}") for i in range(60)] + [(1, "one"), (9, "nine")]
+    got = phrases.neighbour_report(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    # Every row is followed by another one: the rows form one ring.
+    ids = sorted((r.doc_id, r.n_chars) for r in got if r.doc_id is not None)
+    assert ids == sorted((i, len(t)) for i, t in rows if i is not None)
