@@ -1,12 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import values
+from helpers import SMALL, values
 from pyspark.sql import functions as F
 
 from basketlab.functions import position
 from basketlab.functions.columns import is_train
 from basketlab.operators import factor, krylov, ranking
+from basketlab.plans import catalog
+from basketlab.plans.workspace import workspace
 
 TYPES = "user_id long, item long, value double"
 
@@ -144,6 +146,41 @@ def test_blocks_of_users_give_the_same_model(spark, matrix, monkeypatch):
     assert values(factor.similar_users(model, asked, 4), "user_id", "neighbour", "rank") == few
 
 
+def test_every_user_has_neighbours_of_every_point(spark, matrix, monkeypatch):
+    """Users with equal rows are one point; without requests every user is asked."""
+    many = np.concatenate([matrix, np.repeat(matrix[:6], 20, axis=0)])
+    ids = spark.range(len(many)).select("id", is_train("id").alias("t")).orderBy("id").collect()
+    used = many.any(axis=1)
+    users = np.flatnonzero(np.array([r.t for r in ids]) & used)
+    unit = many / np.maximum(np.linalg.norm(many, axis=1, keepdims=True), 1e-300)
+    model = factor.fit_svd(interactions(spark, many), 8)
+    want = []
+    for u in np.flatnonzero(used):
+        score = np.round(unit[users] @ unit[u], factor.TIE_DIGITS)
+        order = np.argsort(-score, kind="stable")[:5]
+        want += [(int(u), int(users[i]), r) for r, i in enumerate(order, 1)]
+    for per_task in (7, 1000):
+        monkeypatch.setattr(factor, "USERS_PER_TASK", per_task)
+        got = factor.similar_users(model, None, 5)
+        assert values(got, "user_id", "neighbour", "rank") == sorted(want, key=str)
+
+
+def test_similar_users_asks_for_every_user(spark):
+    ws = workspace(spark, SMALL)
+    lists = catalog.QUERIES["similar_users"](ws).groupBy("user_id").count().collect()
+    assert {r.user_id for r in lists} == {r.user_id for r in ws.aisle_counts.select("user_id").distinct().collect()}
+    assert {r["count"] for r in lists} == {10}
+
+
+def test_nearest_in_steps_equals_best(monkeypatch):
+    monkeypatch.setattr(factor, "TRAIN_PER_STEP", 16)
+    rng = np.random.default_rng(8)
+    asked, train = (rng.integers(0, 3, shape).astype(float) for shape in ((50, 4), (4, 333)))
+    for n in (1, 5, 40, 400):
+        for a, b in zip(factor._nearest(asked, train, n), factor._best(asked @ train, n)):
+            assert (a == b).all()
+
+
 def test_best_takes_the_first_of_equal_scores():
     scores = np.random.default_rng(7).integers(0, 4, (200, 12)).astype(float)
     for n in (1, 5, 12, 20):
