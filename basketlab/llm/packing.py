@@ -290,8 +290,11 @@ def pack(
     rows = cut(pieces(docs, path, doc_id, text, capacity))
     per_task = rows.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # Counts are small: written by as many tasks as run at once, not by one for each shuffle partition,
+    # whose footers would outweigh the rows and turn the join below from a broadcast into a shuffle.
+    at_once = docs.sparkSession.sparkContext.defaultParallelism
     per_task = cut(
-        per_task.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        per_task.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).coalesce(at_once)
     )
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = plan(counts, capacity)

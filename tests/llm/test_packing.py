@@ -104,3 +104,25 @@ def test_round_trip(docs_of):
     long = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 102)
     assert all(n == 2048 for _, _, n in long[1:]) and [p for p, _, _ in long] == list(range(len(long)))
     assert packing.pack(docs_of([]), tokenizer_file()).count() == 0
+
+
+def test_counts_are_few_files_however_many_shuffle_partitions(spark, docs_of):
+    rows = [(k, "word " * k) for k in range(400)]
+    many = {"spark.sql.shuffle.partitions": "120", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        got = packing.pack(docs_of(rows).coalesce(3), tokenizer_file())
+        places = sorted((r.sequence_id, r.offset, r.length) for r in got.collect())
+        files = len(got.inputFiles())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(places) == 400 and len({n for _, _, n in places}) == 400
+    ends = defaultdict(int)
+    for sequence, offset, length in places:
+        assert offset == ends[sequence]
+        ends[sequence] += length
+    # Three files of pieces, the rest of counts.
+    assert files <= 3 + spark.sparkContext.defaultParallelism
