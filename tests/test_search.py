@@ -1,7 +1,8 @@
 import math
+import random
 
 import pytest
-from helpers import values
+from helpers import joined_rows, values
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
@@ -54,6 +55,30 @@ def test_short_results_are_filled_and_negative_scores_sink(spark, n):
     assert [r.doc_id for r in out if r.query_id == 2] == list(range(n))
 
 
+def test_a_text_is_searched_once_for_all_its_queries(spark):
+    draw = random.Random(3)
+    docs = spark.createDataFrame([(d, f"ring w{d % 7}x" if d % 5 else "bolt") for d in range(300)], DOC)
+    index = search.fit(docs)
+    texts = {u: ("ring", "w3x ring", "unknown")[u % 60 // 58 + u % 2 * (u % 60 == 59)] for u in range(200)}
+    asked = spark.createDataFrame(list(texts.items()), ASK)
+    out = search.query(index, docs, asked, 4)
+    assert out.count() == 800 and max(joined_rows(out)) < 200 * 240 / 10
+    # Lists of any length: the documents outside of them are the best that no list of the asking user holds.
+    lists = {u: {d: draw.choice([-0.5, 0.0, 0.2, 0.6]) for d in draw.sample(range(300), draw.choice([1, 5, 60]))} for u in range(0, 200, 3)}
+    lists[1000] = {5: 0.3}  # a list without a query
+    svd = spark.createDataFrame([(u, d, x) for u, row in lists.items() for d, x in row.items()], "query_id long, doc_id long, svd_score double")
+    words = spark.createDataFrame([(k, t) for k, t in enumerate(("ring", "w3x ring", "unknown"))], ASK)
+    nlp = {(r.query_id, r.doc_id): r.nlp_score for r in search.scores(index, words).collect()}
+    got = {}
+    for r in search.query(index, docs, asked, 4, svd).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    for u, text in texts.items():
+        k = ("ring", "w3x ring", "unknown").index(text)
+        score = {d: 0.7 * nlp.get((k, d), 0.0) + 0.3 * lists.get(u, {}).get(d, 0.0) for d in range(300)}
+        assert got[u] == brute(range(300), score, 4)
+    assert got[1000] == [5] and len(got) == 201
+
+
 def test_results_by_aisle(spark):
     star = spark.createDataFrame(
         [(1, "ring", "gems", "luxury"), (2, "big ring", "gems", "gifts"), (3, "bolt", "tools", "diy")],
