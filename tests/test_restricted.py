@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from helpers import nodes
+from pyspark.sql import functions as F
 
 from basketlab.operators import restricted
 
@@ -50,3 +52,15 @@ def test_empty_tables(tables):
     (lists, people, counts), *_ = tables
     assert restricted.recommend(lists.limit(0), people, counts).count() == 0
     assert restricted.recommend(lists, people, counts.limit(0)).count() == 0
+
+
+def test_lists_are_not_broadcast_for_their_cells(spark):
+    """Few bytes of lists become many rows of pairs, which must not pass through the driver."""
+    lists = spark.range(600).select(F.col("id").alias("user_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("id") + i * (1 + F.col("id") % 4)) % 25)).alias("item"))
+    lists = lists.distinct()
+    people = spark.range(600).select(F.col("id").alias("user_id"), (F.col("id") % 2).alias("cluster"))
+    counts = spark.range(6000).select((F.col("id") % 600).alias("user_id"), (F.col("id") % 25).alias("item"), F.lit(1).alias("value")).distinct()
+    out = restricted.recommend(lists, people, counts)
+    sent = [n.toString() for n in nodes(out) if n.nodeName() == "BroadcastExchange"]
+    assert not [x for x in sent if "posexplode" in x]
+    assert out.select("user_id").distinct().count() == 600
