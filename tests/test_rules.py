@@ -141,3 +141,27 @@ def test_holdout_is_disjoint_and_whole(ws):
     whole = ws.user_lines.select("order_id").distinct().count()
     assert train + test == whole and 0.15 < test / whole < 0.25
     assert values(model.rules.where("support > antecedent_support")) == []
+
+
+def test_groups_are_mined_together_and_equal_orders_once(spark):
+    """Sets of any size equal brute force, and more groups take no more jobs."""
+    draw = random.Random(8)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    taken = []
+    for groups in (2, 16):
+        orders = {(g, g * 100 + o): frozenset(draw.sample("abcdef", draw.randrange(1, 6))) for g in range(groups) for o in range(30)}
+        rows = spark.createDataFrame([(g, o, x) for (g, o), items in orders.items() for x in items], "cluster int, order_id long, item string")
+        begun = jobs()
+        found = baskets.frequent_itemsets(rows, 0.2, "cluster")
+        got = {(r.cluster, tuple(r["items"])): (r.freq, r.n_baskets) for r in found.collect()}
+        taken.append(jobs() - begun)
+        want = {}
+        for g in range(groups):
+            held = [x for (k, _), x in orders.items() if k == g]
+            for size in range(1, 7):
+                for items in combinations("abcdef", size):
+                    n = sum(set(items) <= x for x in held)
+                    if n / 30 >= 0.2:
+                        want[g, items] = (n, 30)
+        assert got == want and max(len(items) for _, items in got) > 2
+    assert taken[1] <= taken[0] + 12
