@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from helpers import joined_rows, values
+from helpers import joined_rows, nodes, values
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
@@ -35,6 +35,34 @@ def test_idf_and_unit_length(spark):
     assert got[0].nlp_score == pytest.approx(a / math.hypot(a, b))
 
 
+@pytest.mark.parametrize("sent", [search.TERMS_SENT if hasattr(search, "TERMS_SENT") else 0, 5])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_weights_are_built_where_the_documents_are(spark, monkeypatch, sent, repeated):
+    """No posting is shuffled when the idf can be sent and ids differ."""
+    draw = random.Random(5)
+    rows = [(d, " ".join(draw.choices([f"w{k}" for k in range(40)], k=draw.randrange(30))) + f" only{d}") for d in range(60)]
+    rows += [(60, None), (61, ""), (62, "the of"), (None, "w1 w1 w2")] + [(3, "w3 w3 other"), (None, "w9")] * repeated
+    monkeypatch.setattr(search, "TERMS_SENT", sent)
+    index = search.fit(spark.createDataFrame(rows, DOC))
+    counts = {}
+    for d, text in rows:
+        for w in (text or "").split():
+            if w not in STOP_WORDS:
+                counts.setdefault(d, {}).setdefault(w, 0)
+                counts[d][w] += 1
+    df = {}
+    for found in counts.values():
+        for w in found:
+            df[w] = df.get(w, 0) + 1
+    raw = {(d, w): n * (math.log((len(rows) + 1) / (df[w] + 1)) + 1) for d, found in counts.items() for w, n in found.items()}
+    norm = {d: math.sqrt(sum(raw[d, w] ** 2 for w in found)) for d, found in counts.items()}
+    got = {(r.doc_id, r.term): r.weight for r in index.weights.collect()}
+    assert got == pytest.approx({k: x / norm[k[0]] for k, x in raw.items()})
+    assert {r.term: r.df for r in index.terms.collect()} == df
+    if sent > 5:
+        assert not [n for n in nodes(index.weights) if "Exchange" in n.nodeName()]
+
+
 def brute(docs, found, n):
     every = {d: found.get(d, 0.0) for d in docs}
     return sorted(every, key=lambda d: (-round(every[d], 9), d))[:n]
