@@ -236,3 +236,19 @@ def test_items_are_numbered_alike_by_ranges(spark, matrix, monkeypatch):
     whole = values(factor.item_index(data, "grp"))
     monkeypatch.setattr(position, "WINDOW_ROWS", 0)
     assert values(factor.item_index(data, "grp")) == whole
+
+
+def test_neighbours_do_not_depend_on_the_blocks_asked_at_once(spark, monkeypatch):
+    """Few blocks of requests meet the train users at a time; results are the same as of one pass."""
+    draw = np.random.default_rng(4)
+    rows = [(u, i, float(draw.integers(1, 4))) for u in range(150) for i in range(8) if draw.random() < 0.5]
+    rows += [(u + 1000, i, x) for u, i, x in rows if u < 30]  # copies
+    model = factor.fit_svd(spark.createDataFrame(rows, "user_id long, item long, value double"), 3)
+    want = values(factor.similar_users(model, None, 4))
+    monkeypatch.setattr(factor, "USERS_PER_TASK", 20)
+    monkeypatch.setattr(factor, "ASKED_BLOCKS", 1)
+    passes = []
+    monkeypatch.setattr(factor, "free_shuffles", lambda spark: passes.append(1))
+    got = values(factor.similar_users(model, None, 4))
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want]) and len(passes) > 1
